@@ -117,7 +117,8 @@ def mixture(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs: int
     boxed = docs.select(F.struct(*[F.col(f"`{n}`") for n in names]).alias("row")).select("row", F.col("row.source").alias("source"), n_words(F.col("row.text")).alias("size"), key.alias("key"))
     measured = materialize(boxed.select("source", "size", "key"), "mix-sizes")
     d = plan(boxed.withColumn("id", F.col("row.doc_id")), ["id", "size"], measured, weights, share, epochs).filter("taken > 0")
-    cut = F.regexp_extract("row.text", F.concat(F.lit(r"^[\x20\x09-\x0D]*+(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+){"), F.col("extra").cast("string"), F.lit("}+")), 0)
+    d = d.withColumn("_upto", F.concat(F.lit(r"^[\x20\x09-\x0D]*+(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+){"), F.col("extra").cast("string"), F.lit("}+")))
+    cut = F.expr("regexp_extract(row.text, _upto, 0)")
     part = F.when(F.col("extra") == F.col("size"), F.array(F.col("row.text"))).when(F.col("extra") > 0, F.array(cut)).otherwise(F.array().cast("array<string>"))
     copies = d.select("row", F.explode(F.concat(F.array_repeat(F.col("row.text"), F.col("whole").cast("int")), part)).alias("text"))
     as_is = lambda n: F.when(F.length("text") == F.length("row.text"), F.col(f"row.`{n}`")).otherwise(F.length("text")).alias(n)

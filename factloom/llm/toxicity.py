@@ -228,12 +228,11 @@ class Toxicity:
     def __init__(self, lexicon: Lexicon, model: gbt.Model, knots: list[tuple[float, float]]):
         self.lexicon, self.model, self.knots = lexicon, model, knots
 
-    def score(self) -> Column:
-        return gbt.calibrated(self.model.margin([f"_f_{f}" for f in FEATURES]), self.knots)
-
-    def scored(self, docs: DataFrame, name: str = "_toxic") -> DataFrame:
-        """docs with the column ``name``: the probability of being toxic."""
-        return with_features(docs, self.lexicon).withColumn(name, self.score()).drop(*[f"_f_{f}" for f in FEATURES])
+    def scored(self, docs: DataFrame, name: str = "_toxic", keep: list[str] | None = None) -> DataFrame:
+        """The columns ``keep`` of docs (all, if none are named) with ``name``: the probability of being toxic."""
+        names = [f"_f_{f}" for f in FEATURES]
+        d = with_features(docs, self.lexicon, keep).withColumn("_margin", self.model.margin(names))
+        return d.withColumn(name, gbt.calibrated(F.col("_margin"), self.knots)).drop("_margin", *names)
 
 
 def held_out(doc_id: Column, folds: int = 5, fold: int = 0) -> Column:
@@ -262,6 +261,6 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Toxicit
 def op6(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    d = with_features(docs, model.lexicon, ["doc_id"])
-    return d.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), model.score().alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    d = model.scored(docs, "score", ["doc_id"])
+    return d.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
