@@ -20,7 +20,7 @@ from factloom.plans.stage import materialize
 #: Weights of the sources in the order of their names, repeating; share of all words that the mix has; epochs at most.
 WEIGHTS, SHARE, EPOCHS = (3.0, 1.0, 2.0), 1.5, 2
 #: Documents of a source in one range of keys, about; ranges are a power of two, so that spans stay exact.
-RANGE_ROWS = 20_000
+RANGE_ROWS = 2_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
