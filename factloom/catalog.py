@@ -1,4 +1,512 @@
-"""All queries by name, and the SQL that gives the same rows."""
+"""All queries by name, and the SQL that gives the same rows.
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+Each query is ``(spark, sf_dir) -> DataFrame`` over program facts derived from the star-schema tables (plans.workload).
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from factloom.functions import ids
+from factloom.functions.lattice import alias_state, merged, positive, to_typed
+from factloom.operators import delta, facts, graph, proof
+from factloom.plans import closure, workload
+from factloom.plans.stage import materialize, read_table
+from factloom.sources.store import put_if_absent
+from factloom.streaming import worklist
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+CALLS = """calls AS (
+  SELECT l_orderkey AS ord, row_number() OVER w - 1 AS pos, l_partkey AS caller, lead(l_partkey) OVER w AS callee,
+         CASE WHEN l_returnflag = 'A' THEN 2 ELSE 1 END AS epistemic, l_linestatus AS reason
+  FROM lineitem WHERE l_quantity >= 46 WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice)),
+edges AS (SELECT caller AS src, callee AS dst, max(epistemic) AS step FROM calls WHERE callee IS NOT NULL GROUP BY 1, 2)"""
+LINES = "lines AS (SELECT *, CASE WHEN l_returnflag = 'A' THEN 2 ELSE 1 END AS epistemic FROM lineitem WHERE l_quantity >= 46)"
+REACH = """r AS (
+  SELECT src AS source, dst AS target, step AS epistemic FROM edges
+  UNION SELECT e.src, r.target, greatest(e.step, r.epistemic) FROM edges e JOIN r ON e.dst = r.source)"""
+ITEMS = f"""{CALLS}, {LINES}, items AS (
+  SELECT caller AS function, CASE WHEN reason = 'F' THEN 'old' ELSE 'new' END AS revision, 1 AS component, callee || '|' || epistemic AS item FROM calls WHERE callee IS NOT NULL
+  UNION ALL SELECT l_partkey, CASE WHEN l_linestatus = 'F' THEN 'old' ELSE 'new' END, 2, l_suppkey || '|' || l_linenumber FROM lines),
+digests AS (SELECT function, revision, component, sha256(string_agg(strlen(item) || ':' || item, '' ORDER BY item)) AS digest, count(*)::INT AS item_count FROM items GROUP BY 1, 2, 3),
+changes AS (
+  SELECT coalesce(o.function, n.function) AS function, coalesce(o.component, n.component) AS component,
+         CASE WHEN o.digest IS NULL THEN 'added' WHEN n.digest IS NULL THEN 'removed' ELSE 'changed' END AS change
+  FROM (SELECT * FROM digests WHERE revision = 'old') o FULL JOIN (SELECT * FROM digests WHERE revision = 'new') n ON o.function = n.function AND o.component = n.component
+  WHERE o.digest IS DISTINCT FROM n.digest)"""
+SCC = f"""{CALLS}, {REACH}, nodes AS (SELECT src AS node FROM edges UNION SELECT dst FROM edges),
+mutual AS (SELECT a.source AS node, min(a.target) AS low FROM r a JOIN r b ON a.source = b.target AND a.target = b.source GROUP BY 1),
+scc AS (SELECT node, least(node, coalesce(low, node)) AS component FROM nodes LEFT JOIN mutual USING (node)),
+dag AS (SELECT a.component AS src_scc, b.component AS dst_scc, max(step) AS epistemic FROM edges JOIN scc a ON src = a.node JOIN scc b ON dst = b.node WHERE a.component <> b.component GROUP BY 1, 2)"""
+
+
+def lp(x: str) -> str:
+    """SQL of a length-prefixed field."""
+    return f"(strlen({x}) || ':' || {x})"
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+# --- recursion
+
+
+@query(f"WITH RECURSIVE {CALLS}, {REACH} SELECT source, target, max(epistemic) AS epistemic FROM r GROUP BY 1, 2")
+def reachable_call(spark, sf_dir):
+    e = workload.call_edges(spark, sf_dir)
+    return closure.close(e, e.select(F.col("src").alias("source"), F.col("dst").alias("target"), "epistemic")).facts
+
+
+def _effects(status: str) -> str:
+    return f"""WITH RECURSIVE {CALLS}, {LINES}, r AS (
+  SELECT l_partkey AS function, l_suppkey AS memory, max(epistemic) AS epistemic FROM lines WHERE l_linestatus = '{status}' GROUP BY 1, 2
+  UNION SELECT e.src, r.memory, greatest(e.step, r.epistemic) FROM edges e JOIN r ON e.dst = r.function)
+SELECT function, memory, max(epistemic) AS epistemic FROM r GROUP BY 1, 2"""
+
+
+def _closed_effects(spark, sf_dir, status):
+    seed = workload.accesses(spark, sf_dir, status).select(F.col("function").alias("source"), F.col("memory").alias("target"), "epistemic")
+    return closure.close(workload.call_edges(spark, sf_dir), seed).facts.withColumnsRenamed({"source": "function", "target": "memory"})
+
+
+@query(_effects("F"))
+def may_write(spark, sf_dir):
+    return _closed_effects(spark, sf_dir, "F")
+
+
+@query(_effects("O"))
+def may_read(spark, sf_dir):
+    return _closed_effects(spark, sf_dir, "O")
+
+
+@query(f"WITH RECURSIVE {CALLS}, {REACH} SELECT source, target, max(epistemic) AS epistemic FROM r WHERE source % 20 = 0 GROUP BY 1, 2")
+def demand_reachable_call(spark, sf_dir):
+    """Only what the asked functions reach is closed."""
+    e = materialize(workload.call_edges(spark, sf_dir), "calls")
+    roots = e.filter("src % 20 = 0").select(F.col("src").alias("node"))
+    part = closure.descend(e, roots)
+    return closure.close(part, part.select(F.col("src").alias("source"), F.col("dst").alias("target"), "epistemic")).facts.filter("source % 20 = 0")
+
+
+@query(f"WITH RECURSIVE {CALLS}, {REACH} SELECT target AS function, count(DISTINCT source) AS callers, count(DISTINCT CASE WHEN epistemic = 2 THEN source END) AS may_callers FROM r GROUP BY 1")
+def transitive_callers(spark, sf_dir):
+    r = reachable_call(spark, sf_dir)
+    return r.groupBy(F.col("target").alias("function")).agg(F.count("*").alias("callers"), F.count(F.when(F.col("epistemic") == 2, 1)).alias("may_callers"))
+
+
+@query(f"""WITH RECURSIVE {CALLS}, r AS (
+  SELECT src AS source, dst AS target, 1 AS d FROM edges UNION SELECT e.src, r.target, d + 1 FROM edges e JOIN r ON e.dst = r.source WHERE d < 3)
+SELECT DISTINCT source, target, 2 AS epistemic FROM r""")
+def approximated_reachable_call(spark, sf_dir):
+    """Two rounds only: everything found is MAY."""
+    e = workload.call_edges(spark, sf_dir)
+    return closure.close(e, e.select(F.col("src").alias("source"), F.col("dst").alias("target"), "epistemic"), max_rounds=2).facts
+
+
+@query(f"WITH RECURSIVE {CALLS}, {REACH} SELECT source, target, max(epistemic) AS epistemic FROM r GROUP BY 1, 2")
+def reachable_call_by_doubling(spark, sf_dir):
+    e = workload.call_edges(spark, sf_dir)
+    return closure.double(e.select(F.col("src").alias("source"), F.col("dst").alias("target"), "epistemic")).facts
+
+
+FLOWS = """flows AS (SELECT event_type AS source, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS sink FROM events),
+fe AS (SELECT source AS src, sink AS dst, count(*) AS n FROM flows WHERE sink IS NOT NULL GROUP BY 1, 2)"""
+
+
+def _flow_edges(spark, sf_dir):
+    return workload.flows(spark, sf_dir).groupBy(F.col("source").alias("src"), F.col("sink").alias("dst")).agg(F.count("*").alias("n")).withColumn("epistemic", F.lit(1))
+
+
+@query(f"WITH RECURSIVE {FLOWS}, r AS (SELECT src AS source, dst AS target FROM fe UNION SELECT fe.src, r.target FROM fe JOIN r ON fe.dst = r.source) SELECT source, target, 1 AS epistemic FROM r")
+def global_flow(spark, sf_dir):
+    e = _flow_edges(spark, sf_dir)
+    return closure.close(e, e.select(F.col("src").alias("source"), F.col("dst").alias("target"), "epistemic")).facts
+
+
+@query(f"""WITH RECURSIVE {FLOWS}, ok AS (SELECT * FROM fe WHERE n % 2 = 1), r AS (SELECT src AS source, dst AS target FROM ok UNION SELECT ok.src, r.target FROM ok JOIN r ON ok.dst = r.source)
+SELECT source, target, 1 AS epistemic FROM r WHERE source = (SELECT min(event_type) FROM events)""")
+def taint(spark, sf_dir):
+    """Taint of the first event type, past flows that are not blocked (here: of an even count)."""
+    e = materialize(_flow_edges(spark, sf_dir), "flows")
+    source = read_table(spark, sf_dir, "events").agg(F.min("event_type").alias("node"))
+    return graph.taint(e.select("src", "dst", "epistemic"), source, e.filter("n % 2 = 0").select("src", "dst"))
+
+
+@query(f"""WITH RECURSIVE {CALLS}, p AS (
+  SELECT l_partkey AS var, l_suppkey AS obj FROM lineitem WHERE l_quantity >= 46 AND l_linenumber = 1
+  UNION SELECT edges.dst, p.obj FROM edges JOIN p ON edges.src = p.var) SELECT var, obj FROM p""")
+def points_to_by_copies(spark, sf_dir):
+    address = workload.lines(spark, sf_dir).filter("l_linenumber = 1").select(F.col("l_partkey").alias("var"), F.col("l_suppkey").alias("obj"))
+    copies = workload.call_edges(spark, sf_dir).select("dst", "src").distinct()
+    none = spark.createDataFrame([], "ptr long, src long, dst long")
+    return graph.points_to(address, copies, none.select("ptr", "src"), none.select("dst", "ptr"))
+
+
+# --- graphs
+
+
+@query(f"WITH {CALLS} SELECT src AS function, count(DISTINCT dst) AS callees, max(step) AS weakest FROM edges GROUP BY 1")
+def callees(spark, sf_dir):
+    e = merged(workload.call_edges(spark, sf_dir), ["src", "dst"])
+    return e.groupBy(F.col("src").alias("function")).agg(F.count("*").alias("callees"), F.max("epistemic").alias("weakest"))
+
+
+@query(f"WITH {CALLS} SELECT DISTINCT src AS node FROM edges WHERE dst = (SELECT min(dst) FROM edges)")
+def callers_of_first(spark, sf_dir):
+    e = workload.call_edges(spark, sf_dir)
+    first = e.agg(F.min("dst")).first()[0]
+    return graph.callers(e, first)
+
+
+@query(f"WITH {LINES} SELECT l_suppkey AS memory, count(DISTINCT l_partkey) AS writers FROM lines WHERE l_linestatus = 'F' GROUP BY 1")
+def writers(spark, sf_dir):
+    return workload.accesses(spark, sf_dir, "F").groupBy("memory").agg(F.count_distinct("function").alias("writers"))
+
+
+@query(f"""WITH RECURSIVE {SCC} SELECT node, component, (count(*) OVER (PARTITION BY component))::INT AS size,
+  'scc:sha256:' || sha256({lp("'factloom.scc.v1'")} || members) AS scc_id
+FROM scc JOIN (SELECT component, string_agg({lp("node::VARCHAR")}, '' ORDER BY node::VARCHAR) AS members FROM scc GROUP BY 1) USING (component)""")
+def scc_members(spark, sf_dir):
+    return graph.strongly_connected(workload.call_edges(spark, sf_dir))
+
+
+@query(f"WITH RECURSIVE {SCC} SELECT src_scc, dst_scc, epistemic FROM dag")
+def scc_edges(spark, sf_dir):
+    e = materialize(workload.call_edges(spark, sf_dir), "calls")
+    return graph.condensation(e, graph.strongly_connected(e))
+
+
+@query(f"""WITH RECURSIVE {SCC}, l AS (SELECT component, 0 AS level FROM scc UNION SELECT src_scc, level + 1 FROM dag JOIN l ON dst_scc = l.component)
+SELECT component, max(level)::INT AS level FROM l GROUP BY 1""")
+def scc_levels(spark, sf_dir):
+    e = materialize(workload.call_edges(spark, sf_dir), "calls")
+    m = materialize(graph.strongly_connected(e), "members")
+    return graph.levels(materialize(graph.condensation(e, m), "dag"), m)
+
+
+@query(f"""WITH RECURSIVE {SCC} SELECT component, bool_or(n > 1) OR bool_or(node IN (SELECT src FROM edges WHERE src = dst)) AS recursive
+FROM (SELECT *, count(*) OVER (PARTITION BY component) AS n FROM scc) GROUP BY 1""")
+def recursive_sccs(spark, sf_dir):
+    e = materialize(workload.call_edges(spark, sf_dir), "calls")
+    return graph.recursive(e, graph.strongly_connected(e))
+
+
+@query(f"""WITH RECURSIVE {CALLS}, r AS (SELECT DISTINCT src AS root, src AS node, 0 AS depth FROM edges WHERE src % 10 = 0
+  UNION SELECT root, dst, depth + 1 FROM r JOIN edges ON node = src WHERE depth < 4) SELECT root, node, min(depth)::INT AS depth FROM r GROUP BY 1, 2""")
+def paths_within_four(spark, sf_dir):
+    e = workload.call_edges(spark, sf_dir)
+    return graph.within(e, e.filter("src % 10 = 0").select(F.col("src").alias("root")).distinct(), 4)
+
+
+@query(f"""WITH RECURSIVE {CALLS}, deps AS (SELECT DISTINCT caller AS consumer, callee AS producer, epistemic - 1 AS sensitivity FROM calls WHERE callee IS NOT NULL),
+r AS (SELECT consumer, 1 AS depth FROM deps WHERE sensitivity = 0 AND producer % 10 = 0
+  UNION SELECT deps.consumer, depth + 1 FROM r JOIN deps ON deps.producer = r.consumer AND sensitivity = 0 WHERE depth < 16)
+SELECT consumer, min(depth)::INT AS depth FROM r GROUP BY 1""")
+def impact_set(spark, sf_dir):
+    d = workload.dependencies(spark, sf_dir)
+    seeds = d.filter("producer % 10 = 0").select("producer").distinct().withColumn("sensitivity", F.lit(0))
+    return graph.impact(d, seeds, max_consumers=None)[0]
+
+
+@query(f"WITH {CALLS} SELECT DISTINCT caller AS consumer FROM calls WHERE callee = (SELECT min(callee) FROM calls)")
+def users_of_first(spark, sf_dir):
+    d = workload.dependencies(spark, sf_dir)
+    return delta.users_of(d, d.agg(F.min("producer")).first()[0])
+
+
+# --- facts and identities
+
+
+def _function_id(c):
+    return ids.stable_id("funcvar", c.cast("string"))
+
+
+FN = "'funcvar:sha256:' || sha256({}::VARCHAR)"
+
+
+def _summaries(spark, sf_dir):
+    """functions, calls, effects, flows and aliases in the shape of normalised summaries."""
+    rows = workload.lines(spark, sf_dir)
+    functions = rows.select("l_partkey").distinct().select(_function_id(F.col("l_partkey")).alias("function_id"), ids.stable_id("summary", F.col("l_partkey").cast("string")).alias("summary_id"))
+    site = F.concat_ws(":", F.lit("site"), "ord", "pos")
+    calls = workload.call_sites(spark, sf_dir).select(_function_id(F.col("caller")).alias("function_id"), F.coalesce(F.col("callee").cast("string"), F.lit("unresolved")).alias("callee_symbol"), site.alias("call_site_anchor_id"), "epistemic", F.concat(F.lit("p"), "ord").alias("provenance_ref"), _function_id(F.col("callee")).alias("resolved_callee"))
+    state = F.when(F.col("l_returnflag") == "A", 2).otherwise(1)
+    ref = F.concat(F.lit("p"), "l_orderkey")
+    effects = rows.select(_function_id(F.col("l_partkey")).alias("function_id"), F.when(F.col("l_linestatus") == "F", 2).otherwise(1).alias("kind"), F.concat(F.lit("mem:"), "l_suppkey").alias("location"), state.alias("epistemic"), ref.alias("provenance_ref"))
+    flows = rows.select(_function_id(F.col("l_partkey")).alias("function_id"), F.concat(F.lit("v"), "l_linenumber").alias("source"), F.concat(F.lit("v"), "l_suppkey").alias("sink"), state.alias("epistemic"), ref.alias("provenance_ref"))
+    aliases = rows.select(_function_id(F.col("l_partkey")).alias("function_id"), F.concat(F.lit("mem:"), "l_suppkey").alias("location_a"), F.concat(F.lit("mem:"), "l_linenumber").alias("location_b"), state.alias("epistemic"), ref.alias("provenance_ref"))
+    return functions, calls, effects, flows, aliases
+
+
+def _id_sql(relation: str, columns: list[str], anchor: str, summary: str, ref: str, source: str) -> str:
+    head = " || ".join(lp(x) for x in ["'factloom.fact.base.v1'", relation, *columns, "epistemic::VARCHAR", summary, anchor, ref])
+    return f"SELECT 'fact:sha256:' || sha256({head}) AS tuple_id, {relation} AS relation, epistemic FROM {source}"
+
+
+_S = "('summary:sha256:' || sha256({}::VARCHAR))"
+_P = FN.format("l_partkey")
+
+
+@query(f"""WITH {CALLS}, {LINES} SELECT DISTINCT * FROM (
+{_id_sql("'DirectCall'", [f"({FN.format('caller')})", f"({FN.format('callee')})"], "('site:' || ord || ':' || pos)", _S.format("caller"), "('p' || ord)", "calls WHERE callee IS NOT NULL")}
+UNION ALL {_id_sql("(CASE WHEN l_linestatus = 'F' THEN 'DirectWrite' ELSE 'DirectRead' END)", [f"({_P})", "('mem:' || l_suppkey)"], "('mem:' || l_suppkey)", _S.format("l_partkey"), "('p' || l_orderkey)", "lines")}
+UNION ALL {_id_sql("'LocalFlow'", ["('v' || l_linenumber)", "('v' || l_suppkey)", f"({_P})"], "('flow:v' || l_linenumber || ':v' || l_suppkey)", _S.format("l_partkey"), "('p' || l_orderkey)", "lines")}
+UNION ALL {_id_sql("'MayAlias'", ["('mem:' || l_suppkey)", "('mem:' || l_linenumber)"], "('alias:mem:' || l_suppkey || ':mem:' || l_linenumber)", _S.format("l_partkey"), "('p' || l_orderkey)", "lines")})""")
+def base_facts(spark, sf_dir):
+    return facts.base_facts(*_summaries(spark, sf_dir)).select("tuple_id", "relation", "epistemic")
+
+
+@query(f"""WITH {CALLS} SELECT DISTINCT 'fact:sha256:' || sha256({" || ".join(lp(x) for x in ["'factloom.fact.derived.v1'", "'ReachableCall'", "src::VARCHAR", "dst::VARCHAR", "step::VARCHAR", "'reachable.direct.v1'", "least('a' || src, 'b' || dst)", "greatest('a' || src, 'b' || dst)"])}) AS tuple_id FROM edges""")
+def derived_fact_ids(spark, sf_dir):
+    e = merged(workload.call_edges(spark, sf_dir), ["src", "dst"])
+    inputs = F.array(F.concat(F.lit("b"), "dst"), F.concat(F.lit("a"), "src"))
+    return e.select(ids.derived_fact_id(F.lit("ReachableCall"), F.array(F.col("src").cast("string"), F.col("dst").cast("string")), F.col("epistemic"), F.lit("reachable.direct.v1"), inputs).alias("tuple_id"))
+
+
+@query(f"WITH {CALLS} SELECT ord, pos, 'callsite:sha256:' || sha256({FN.format('caller')} || chr(0) || pos) AS site FROM calls")
+def call_site_ids(spark, sf_dir):
+    c = workload.call_sites(spark, sf_dir)
+    return c.select("ord", "pos", ids.stable_id("callsite", F.concat(_function_id(F.col("caller")), F.lit("\0"), F.col("pos").cast("string"))).alias("site"))
+
+
+@query("SELECT p_partkey, 'symbol:sha256:' || sha256(p_brand || chr(0) || p_type) AS symbol, true AS valid FROM part")
+def function_symbols(spark, sf_dir):
+    symbol = ids.stable_id("symbol", F.concat("p_brand", F.lit("\0"), "p_type"))
+    return read_table(spark, sf_dir, "part").select("p_partkey", symbol.alias("symbol"), ids.is_stable_id(symbol, "symbol").alias("valid"))
+
+
+@query("SELECT row_number() OVER (ORDER BY p) - 1 AS dense, p AS value FROM (SELECT DISTINCT l_partkey AS p FROM lineitem)")
+def dense_ids(spark, sf_dir):
+    return facts.dense_ids(read_table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("value")), "value")
+
+
+@query(f"WITH {CALLS} SELECT ord, pos, caller, reason FROM calls WHERE callee IS NULL")
+def unknown_calls(spark, sf_dir):
+    return workload.call_sites(spark, sf_dir).filter("callee IS NULL").select("ord", "pos", "caller", "reason")
+
+
+@query(f"""WITH {CALLS} SELECT 'DirectCall' AS relation, count(*) AS n FROM calls WHERE callee IS NOT NULL UNION ALL SELECT 'UnknownCall', count(*) FROM calls WHERE callee IS NULL""")
+def typed_calls(spark, sf_dir):
+    c = workload.call_sites(spark, sf_dir).withColumn("site", F.concat_ws(":", "ord", "pos"))
+    direct, unknown = facts.typed_calls(c)
+    return direct.agg(F.count("*").alias("n")).select(F.lit("DirectCall").alias("relation"), "n").union(unknown.agg(F.count("*").alias("n")).select(F.lit("UnknownCall"), "n"))
+
+
+@query(f"""WITH {CALLS}, c AS (SELECT ord AS caller, (pos % 2)::BIGINT AS site, callee, epistemic FROM calls),
+g AS (SELECT caller, site, count(DISTINCT callee) AS t, bool_or(callee IS NULL) AS o, bool_or(epistemic <> 2 AND callee IS NOT NULL) AS s, count(DISTINCT (callee, epistemic)) AS f FROM c GROUP BY 1, 2),
+k AS (SELECT caller, site, CASE WHEN o AND t > 0 THEN 'resolved and unknown' WHEN t > 1 AND s THEN 'several targets' WHEN NOT o AND f > t THEN 'two states' END AS rule FROM g)
+SELECT * FROM k WHERE rule IS NOT NULL""")
+def call_conflicts(spark, sf_dir):
+    c = workload.call_sites(spark, sf_dir).select(F.col("ord").alias("caller"), (F.col("pos") % 2).alias("site"), "callee", "epistemic")
+    return facts.call_conflicts(c)
+
+
+STATE = "((l_linenumber + l_suppkey) % 6 + 1)"
+
+
+@query(f"SELECT {STATE}::INT AS epistemic, CASE WHEN {STATE} = 3 THEN 'UnsupportedFeature' ELSE 'LocalFlow' END AS route, count(*) AS n FROM lineitem WHERE l_quantity >= 46 GROUP BY 1, 2")
+def routed_flows(spark, sf_dir):
+    rows = workload.lines(spark, sf_dir).select(((F.col("l_linenumber") + F.col("l_suppkey")) % 6 + 1).cast("int").alias("epistemic"))
+    return facts.routed(rows, "LocalFlow").groupBy("epistemic", "route").agg(F.count("*").alias("n"))
+
+
+@query(f"""SELECT e::INT AS epistemic, e::INT - 1 AS typed, (e IN (1, 2)) AS positive, (CASE e WHEN 1 THEN 0 WHEN 3 THEN 2 WHEN 6 THEN 3 ELSE 1 END)::INT AS alias_state
+FROM (SELECT DISTINCT {STATE} AS e FROM lineitem WHERE l_quantity >= 46)""")
+def lattice_states(spark, sf_dir):
+    e = F.col("epistemic")
+    rows = workload.lines(spark, sf_dir).select(((F.col("l_linenumber") + F.col("l_suppkey")) % 6 + 1).cast("int").alias("epistemic")).distinct()
+    return rows.select("epistemic", to_typed(e).alias("typed"), positive(e).alias("positive"), alias_state(e).alias("alias_state"))
+
+
+@query("""SELECT CASE WHEN l_discount > 0.02 AND l_tax > 0.02 THEN 1 ELSE 0 END AS range_kind, sum(CASE WHEN l_discount > 0.02 AND l_tax > 0.02 THEN l_linenumber ELSE 0 END)::BIGINT AS bytes
+FROM lineitem WHERE l_quantity >= 46 GROUP BY 1""")
+def byte_ranges(spark, sf_dir):
+    n = F.col("l_linenumber").cast("long")
+    r = workload.lines(spark, sf_dir).select(facts.byte_range(F.when(F.col("l_discount") > 0.02, n), F.when(F.col("l_tax") > 0.02, n)).alias("r"))
+    return r.groupBy(F.col("r.range_kind").alias("range_kind")).agg(F.sum("r.size").alias("bytes"))
+
+
+@query("SELECT name, symbol FROM (SELECT p_name AS name, count(DISTINCT p_partkey) AS n, min(p_partkey) AS symbol FROM part GROUP BY 1) WHERE n = 1")
+def unambiguous_names(spark, sf_dir):
+    return facts.owners(read_table(spark, sf_dir, "part").select(F.col("p_name").alias("name"), F.col("p_partkey").alias("symbol")))
+
+
+@query(f"""WITH {CALLS}, {LINES}, f AS (SELECT DISTINCT l_partkey AS p FROM lines), k AS (
+  SELECT DISTINCT CASE WHEN epistemic = 1 THEN 2 ELSE 3 END AS kind, caller AS a, callee::VARCHAR AS b FROM calls WHERE callee IS NOT NULL
+  UNION SELECT DISTINCT CASE WHEN epistemic = 1 THEN 2 ELSE 3 END, caller, '' FROM calls WHERE callee IS NULL AND false
+  UNION SELECT DISTINCT CASE WHEN l_linestatus = 'F' THEN 5 ELSE 4 END, l_partkey, 'm' || l_suppkey FROM lines
+  UNION SELECT DISTINCT 6, l_partkey, l_linenumber || '>' || l_suppkey FROM lines
+  UNION SELECT DISTINCT 7, l_partkey, epistemic || ':' || l_suppkey || '=' || l_linenumber FROM lines
+  UNION SELECT 9, p, '' FROM f)
+SELECT kind::INT AS kind, count(*) AS edges FROM k GROUP BY 1""")
+def property_graph_edges(spark, sf_dir):
+    functions, calls, effects, flows, aliases = _summaries(spark, sf_dir)
+    _, edges = facts.property_graph(functions, calls.filter("resolved_callee IS NOT NULL"), effects, flows, aliases)
+    return edges.groupBy("kind").agg(F.count("*").alias("edges"))
+
+
+@query("SELECT 'none'::VARCHAR AS rule, 0::BIGINT AS n")
+def property_graph_violations(spark, sf_dir):
+    functions, calls, effects, flows, aliases = _summaries(spark, sf_dir)
+    nodes, edges = facts.property_graph(functions, calls, effects, flows, aliases)
+    bad = facts.graph_violations(materialize(nodes, "nodes"), materialize(edges, "edges")).agg(F.count("*").alias("n"))
+    return bad.select(F.when(F.col("n") == 0, "none").otherwise("some").alias("rule"), "n")
+
+
+@query("SELECT 'none'::VARCHAR AS rule, 0::BIGINT AS n")
+def base_fact_violations(spark, sf_dir):
+    bad = facts.fact_violations(facts.base_facts(*_summaries(spark, sf_dir))).agg(F.count("*").alias("n"))
+    return bad.select(F.when(F.col("n") == 0, "none").otherwise("some").alias("rule"), "n")
+
+
+# --- provenance
+
+
+def _proofs(spark, sf_dir):
+    c = workload.call_edges(spark, sf_dir).distinct().select(ids.stable_id("fact", F.concat_ws(">", "src", "dst", "epistemic")).alias("fact_id"), F.col("src").alias("source"), F.col("dst").alias("target"), "epistemic")
+    c = materialize(c, "call-facts")
+    return c, proof.proofs(c, c, "ReachableCall")
+
+
+@query(f"""WITH RECURSIVE {CALLS}, b AS (SELECT DISTINCT caller AS src, callee AS dst, epistemic AS e FROM calls WHERE callee IS NOT NULL),
+r AS (SELECT src AS source, dst AS target, e AS epistemic, 0 AS rank FROM b UNION SELECT b.src, r.target, greatest(b.e, r.epistemic), rank + 1 FROM b JOIN r ON b.dst = r.source WHERE rank < 30)
+SELECT source, target, epistemic, min(rank)::INT AS rank FROM r GROUP BY 1, 2, 3""")
+def proof_ranks(spark, sf_dir):
+    return _proofs(spark, sf_dir)[1].select("source", "target", "epistemic", "rank")
+
+
+@query()
+def proof_explanations(spark, sf_dir):
+    """All facts that the weakest rows of every twentieth function rest on."""
+    _, p = _proofs(spark, sf_dir)
+    return proof.explain(p, proof.final_rows(p).filter("source % 20 = 0").select("tuple_id"))[0].select("tuple_id", "source", "target", "epistemic", "rank", "rule", "inputs")
+
+
+@query("SELECT 0::BIGINT AS missing, 0::BIGINT AS unproven")
+def proof_closure(spark, sf_dir):
+    c, p = _proofs(spark, sf_dir)
+    weakest = proof.final_rows(p)
+    closed, _ = proof.explain(p, weakest.select("tuple_id"))
+    missing = proof.missing_inputs(closed, c).agg(F.count("*").alias("missing"))
+    return missing.withColumn("unproven", F.lit(proof.unproven(reachable_call(spark, sf_dir), p).count()).cast("long"))
+
+
+# --- incremental
+
+
+@query(f"WITH {ITEMS} SELECT function, revision, component, digest, item_count FROM digests")
+def component_digests(spark, sf_dir):
+    return delta.component_digests(workload.summary_items(spark, sf_dir), ["function", "revision"])
+
+
+def _changes(spark, sf_dir):
+    d = materialize(component_digests(spark, sf_dir), "digests")
+    side = lambda r: d.filter(F.col("revision") == r).drop("revision")
+    return delta.diff(side("old"), side("new"), ["function"])
+
+
+@query(f"WITH {ITEMS} SELECT * FROM changes")
+def summary_diff(spark, sf_dir):
+    return _changes(spark, sf_dir)
+
+
+@query(f"WITH {ITEMS} SELECT function, bool_or(component = 1) AS calls_changed, bool_or(component = 2) AS effects_changed FROM changes GROUP BY 1")
+def delta_flags(spark, sf_dir):
+    return delta.delta_flags(_changes(spark, sf_dir), ["function"])
+
+
+@query(f"WITH {ITEMS} SELECT DISTINCT src AS target FROM edges WHERE dst IN (SELECT function FROM changes)")
+def scheduled_predecessors(spark, sf_dir):
+    d = materialize(component_digests(spark, sf_dir), "digests").withColumnRenamed("digest", "external_hash")
+    side = lambda r: d.filter(F.col("revision") == r).select("function", "component", "external_hash")
+    new, old = side("new"), side("old")
+    changed = delta.external_changes(old, new, ["function", "component"]).select("function").union(old.join(new, ["function", "component"], "left_anti").select("function"))
+    edges = workload.call_edges(spark, sf_dir).select(F.col("src").alias("src_scc"), F.col("dst").alias("dst_scc"))
+    return delta.schedule_predecessors(changed.select(F.col("function").alias("component")).distinct(), edges)
+
+
+WORK = """w AS (SELECT event_type AS kind, user_id AS target, (event_id % 7)::VARCHAR AS delta_id, min(event_id) AS seq, min(hour(ts))::INT AS priority, max((event_id % 3)::INT) AS attempts FROM events GROUP BY 1, 2, 3),
+m AS (SELECT kind, target, string_agg(delta_id, ',' ORDER BY seq, delta_id) AS delta_ids, min(priority) AS priority, max(attempts) AS attempts FROM w GROUP BY 1, 2)"""
+
+
+def _work(spark, sf_dir):
+    e = read_table(spark, sf_dir, "events")
+    return e.select(F.col("event_type").alias("kind"), F.col("user_id").alias("target"), F.col("event_id").alias("seq"), (F.col("event_id") % 7).cast("string").alias("delta_id"), F.hour("ts").alias("priority"), (F.col("event_id") % 3).cast("int").alias("attempts"))
+
+
+@query(f"WITH {WORK} SELECT * FROM m")
+def merged_work(spark, sf_dir):
+    return delta.merge_work(_work(spark, sf_dir), worklist.KEYS).withColumn("delta_ids", F.array_join("delta_ids", ","))
+
+
+@query(f"WITH {WORK} SELECT kind, target, priority FROM m ORDER BY priority, kind, target LIMIT 20")
+def next_work(spark, sf_dir):
+    return delta.drain(delta.merge_work(_work(spark, sf_dir), worklist.KEYS), worklist.KEYS).select("kind", "target", "priority").limit(20)
+
+
+@query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS r FROM events) WHERE r = 1")
+def latest_bindings(spark, sf_dir):
+    return delta.latest(read_table(spark, sf_dir, "events"), ["user_id"], "ts", "event_id").select("user_id", "event_id", "event_type")
+
+
+@query("SELECT DISTINCT o_custkey AS key FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 3 = 0)")
+def inserted_or_ignored(spark, sf_dir):
+    have = read_table(spark, sf_dir, "customer").filter("c_custkey % 3 = 0").select(F.col("c_custkey").alias("key"))
+    return delta.insert_or_ignore(have, read_table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key")), ["key"])
+
+
+@query("""WITH inc AS (SELECT sha256(p_brand) AS key, p_type AS b FROM part), bad AS (SELECT key FROM inc GROUP BY 1 HAVING count(DISTINCT b) > 1)
+SELECT key, 'clash' AS verdict FROM bad UNION ALL SELECT DISTINCT key, 'new' FROM inc WHERE key NOT IN (SELECT key FROM bad)
+UNION ALL SELECT DISTINCT sha256('n' || p_partkey), 'new' FROM part WHERE p_partkey % 2 = 1""")
+def content_addressed_put(spark, sf_dir):
+    p = read_table(spark, sf_dir, "part")
+    named = p.select(F.sha2(F.concat(F.lit("n"), "p_partkey"), 256).alias("key"), F.col("p_name").alias("bytes"), (F.col("p_partkey") % 2).alias("odd"))
+    new, clash = put_if_absent(named.filter("odd = 0").drop("odd"), p.select(F.sha2("p_brand", 256).alias("key"), F.col("p_type").alias("bytes")).union(named.drop("odd")))
+    return clash.select("key", F.lit("clash").alias("verdict")).union(new.select("key", F.lit("new")))
+
+
+@query("SELECT s_suppkey FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_quantity >= 46 AND l_linestatus = 'F')")
+def orphaned_states(spark, sf_dir):
+    used = workload.accesses(spark, sf_dir, "F").select(F.col("memory").alias("s_suppkey"))
+    return delta.orphans(read_table(spark, sf_dir, "supplier").select("s_suppkey"), used, "s_suppkey")
+
+
+@query("""WITH i AS (SELECT o_custkey AS k, o_orderkey AS v FROM orders WHERE o_orderstatus = 'F')
+SELECT k, v FROM i UNION ALL SELECT c_custkey, -1 FROM customer WHERE c_custkey NOT IN (SELECT k FROM i)""")
+def replaced_for_keys(spark, sf_dir):
+    incoming = read_table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("v"))
+    current = read_table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.lit(-1).cast("long").alias("v"))
+    return delta.replace_for_keys(current, incoming, "k")
+
+
+@query("""WITH a AS (SELECT l_partkey AS p FROM lineitem WHERE l_linestatus = 'F'), b AS (SELECT l_partkey AS p FROM lineitem WHERE l_linestatus = 'O'),
+d AS (SELECT p, 'left' AS side FROM (SELECT p FROM a EXCEPT ALL SELECT p FROM b) UNION ALL SELECT p, 'right' FROM (SELECT p FROM b EXCEPT ALL SELECT p FROM a))
+SELECT side, count(*) AS n FROM d GROUP BY 1""")
+def revision_history(spark, sf_dir):
+    side = lambda s: read_table(spark, sf_dir, "lineitem").filter(F.col("l_linestatus") == s).select(F.col("l_partkey").alias("p"))
+    return delta.same_rows(side("F"), side("O")).groupBy("side").agg(F.count("*").alias("n"))
+
+
+@query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def hourly_events(spark, sf_dir):
+    return worklist.windowed_counts(read_table(spark, sf_dir, "events"))
+
+
+@query(f"""WITH {CALLS}, {LINES} SELECT l_partkey AS function, bool_and(l_linestatus = 'F') AS all_writes, bool_or(epistemic = 2) AS some_may FROM lines WHERE l_partkey IN (SELECT src FROM edges) GROUP BY 1""")
+def quantified_effects(spark, sf_dir):
+    """For all and exists over the effects of functions that call."""
+    e = workload.accesses(spark, sf_dir, "F").withColumn("write", F.lit(True)).unionByName(workload.accesses(spark, sf_dir, "O").withColumn("write", F.lit(False)))
+    callers = workload.call_edges(spark, sf_dir).select(F.col("src").alias("function"))
+    return e.join(callers, "function", "left_semi").groupBy("function").agg(F.bool_and("write").alias("all_writes"), F.bool_or(F.col("epistemic") == 2).alias("some_may"))
