@@ -99,17 +99,15 @@ def least_shared(size: Column, k: int = SKETCH, percent: int = PERCENT) -> Colum
 def classes(sketched: DataFrame) -> DataFrame:
     """key (smallest doc_id), n and sketch, one row for each set; rows without shingles or doc_id are left out."""
     real = sketched.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    key = real.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("key"))
-    mine = real.withColumnRenamed("doc_id", "key")
-    return mine.join(key, ["n_shingles", "d1", "d2", "key"], "left_semi").select("key", F.col("n_shingles").alias("n"), "sketch").dropDuplicates(["key", "n", "sketch"])
+    return real.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("key"), F.first("sketch").alias("sketch")).select("key", F.col("n_shingles").alias("n"), "sketch")
 
 
 def postings(cls: DataFrame, k: int = SKETCH, percent: int = PERCENT) -> DataFrame:
     """v, key, n, shared (how common the class's values are) and listed: the values under which a class must be found."""
-    each = cls.select("key", "n", F.size("sketch").alias("s"), F.explode("sketch").alias("v"))
+    each = cls.select("key", "n", F.explode("sketch").alias("v"))
     counts = each.groupBy("v").agg(F.count("*").alias("df")).filter("df > 1")
-    shared = each.join(counts, "v").groupBy("key", "n", "s").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("vs"), F.sum(F.log2("df")).alias("shared"))  # at most k values
-    listed = shared.withColumn("m", F.size("vs") - least_shared(F.col("s"), k, percent) + 1).filter("m > 0")
+    shared = each.join(counts, "v").groupBy("key", "n").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("vs"), F.sum(F.log2("df")).alias("shared"))  # at most k values
+    listed = shared.withColumn("m", F.size("vs") - least_shared(F.least("n", F.lit(k)), k, percent) + 1).filter("m > 0")
     return listed.select("key", "n", "shared", F.transform(F.slice("vs", F.lit(1), F.greatest(F.col("m"), F.lit(0))), lambda e: e["v"]).alias("listed")).withColumn("v", F.explode("listed"))
 
 
@@ -175,26 +173,26 @@ def near_duplicates(docs: DataFrame, k: int = SKETCH, percent: int = PERCENT, si
 
 
 def open_members(lists: DataFrame, merged: DataFrame) -> DataFrame:
-    """key, n and comp of the members of lists that still hold several components."""
-    at = materialize(lists.join(merged, "key", "left").select("v", "key", "n", F.coalesce("comp", "key").alias("comp")), "placed")
+    """key and comp of the members of lists that still hold several components."""
+    at = materialize(lists.join(merged, "key", "left").select("v", "key", F.coalesce("comp", "key").alias("comp")), "placed")
     parts = at.groupBy("v").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low != high").select("v")
-    return at.join(parts, "v", "left_semi").select("key", "n", "comp").distinct()
+    return at.join(parts, "v", "left_semi").select("key", "comp").distinct()
 
 
 def exact_links(members: DataFrame, docs: DataFrame, percent: int, size: int) -> DataFrame:
-    """The similar pairs (a, b) of members (key, n, comp) across components, by a prefix join over whole sets.
+    """The similar pairs (a, b) of members (key, comp) across components, by a prefix join over whole sets.
 
     Shingles are ordered by how many members have them. Similar sets share one of the first n - need + 1 of that order,
     and the first that they share leaves room for the overlap that their sizes ask for; a pair is made at that one only.
     Shingles that no other member has stand first and make no pair, so a set with too many of them drops out.
     """
     needed = docs.select(F.col("doc_id").cast("long").alias("key"), "text").join(members.select("key").distinct(), "key", "left_semi")
-    sets = materialize(whole_sets(needed, size).withColumn("n", F.size("whole")).join(members, ["key", "n"]), "open-sets")
-    each = sets.select("key", "n", "comp", F.explode("whole").alias("v"))
+    sets = materialize(whole_sets(needed, size).withColumn("n", F.size("whole")), "open-sets")
+    each = sets.select("key", "n", F.explode("whole").alias("v"))
     counts = each.groupBy("v").agg(F.count("*").alias("df")).filter("df > 1")
-    ordered = each.join(counts, "v").groupBy("key", "n", "comp").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("vs"))
+    ordered = each.join(counts, "v").groupBy("key", "n").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("vs"))
     need = F.ceil(F.col("n") * percent / 100).cast("int")
-    first = ordered.withColumn("m", F.size("vs") - need + 1).filter("m > 0").select("key", "n", "comp", F.transform(F.slice("vs", F.lit(1), F.greatest(F.col("m"), F.lit(0))), lambda e: e["v"]).alias("l"), (F.col("n") - F.size("vs")).alias("alone"))
+    first = ordered.withColumn("m", F.size("vs") - need + 1).filter("m > 0").join(members, "key").select("key", "n", "comp", F.transform(F.slice("vs", F.lit(1), F.greatest(F.col("m"), F.lit(0))), lambda e: e["v"]).alias("l"), (F.col("n") - F.size("vs")).alias("alone"))
     places = materialize(first.select("key", "n", "comp", "l", "alone", F.posexplode("l").alias("p", "v")).withColumn("p", F.col("p") + F.col("alone")).drop("alone"), "places")
     side = lambda x: places.select(F.col("v").alias(f"v{x}"), F.col("key").alias(x), F.col("n").alias(f"n{x}"), F.col("comp").alias(f"c{x}"), F.col("l").alias(f"l{x}"), F.col("p").alias(f"p{x}"))
     room = (F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) * (100 + percent)) >= (F.col("na") + F.col("nb")) * percent
