@@ -1,7 +1,8 @@
 """Stage boundaries: tables written to the folder that every executor shares.
 
 A stage boundary cuts the lineage, so that a lost executor costs a reread and not a recomputation. The folder is the one
-the cluster names in spark.checkpoint.dir; only where that is unset (tests, a laptop) is one made here.
+the cluster names in spark.checkpoint.dir; only where that is unset (tests, a laptop) is one made here. The shuffle files
+of a boundary go as soon as it is written, and the table itself when discard() is told that all who read it are written.
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Shuffle files of an action go with it; a written table needs them no more.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _own: dict[str, str] = {}
 
 
@@ -29,9 +32,23 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes df once to the shared folder and returns a scan of what was written."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path = df.sparkSession, new_path(df.sparkSession, name)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stage_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of materialize(); nothing may read them any more, and what was made of them must be written."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.stage_path)
+        path.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
