@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm.textvec import LOWER, Words, blocks, column_bytes, mix64, shingles
-from factloom.plans.stage import materialize
+from factloom.plans.stage import discard, materialize
 
 SKETCH = 64
 #: Links have 100 * intersection >= PERCENT * union.
@@ -129,7 +129,9 @@ def verified(pairs: DataFrame, cls: DataFrame, docs: DataFrame, k: int, percent:
     asked = likely.select(F.col("a").alias("key")).union(likely.select(F.col("b").alias("key"))).distinct()
     needed = docs.select(F.col("doc_id").cast("long").alias("key"), "text").join(asked, "key", "left_semi")
     sets = materialize(whole_sets(needed, size), f"sets-{name}")
-    return likely.join(sets_of(sets, "a"), "a").join(sets_of(sets, "b"), "b").filter(similar(percent)).select("a", "b").distinct()
+    links = materialize(likely.join(sets_of(sets, "a"), "a").join(sets_of(sets, "b"), "b").filter(similar(percent)).select("a", "b").distinct(), f"links-{name}")
+    discard(likely, sets)
+    return links
 
 
 def components(links: DataFrame, rounds: int = 40) -> DataFrame:
@@ -142,7 +144,8 @@ def components(links: DataFrame, rounds: int = 40) -> DataFrame:
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
-        edges = materialize(small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).filter("u != v").distinct(), "edges")
+        last, edges = edges, materialize(small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).filter("u != v").distinct(), "edges")
+        discard(last)
         seen = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if (seen["n"], seen["h"]) == mark:
             break
@@ -152,14 +155,19 @@ def components(links: DataFrame, rounds: int = 40) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, k: int = SKETCH, percent: int = PERCENT, size: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of docs (doc_id, text)."""
-    sketched = materialize(sketches(docs, k, size), "sketches")
-    cls = materialize(classes(sketched), "classes")
+    hashed = materialize(sketches(docs, k, size), "sketches")
+    cls = materialize(classes(hashed), "classes")
+    sketched = materialize(hashed.drop("sketch"), "digests")
+    discard(hashed)
     lists = materialize(postings(cls, k, percent), "postings")
     hubs = lists.groupBy("v").agg(F.max(F.struct("shared", (-F.col("key")).alias("minus"))).alias("hub"), F.count("*").alias("c")).filter("c > 1").select("v", (-F.col("hub.minus")).alias("h"))
     star = lists.join(hubs, "v").filter("key != h").select(F.least("key", "h").alias("a"), F.greatest("key", "h").alias("b")).distinct()
-    first = materialize(verified(star, cls, docs, k, percent, size, "hubs"), "links")
+    first = verified(star, cls, docs, k, percent, size, "hubs")
+    discard(cls)
     merged = materialize(components(first), "merged")
-    more = exact_links(open_members(lists, merged), docs, percent, size)
+    open_ = materialize(open_members(lists, merged), "open")
+    discard(lists)
+    more = exact_links(open_, docs, percent, size)
     # Rows that share a doc_id but not a text join their classes.
     sets = sketched.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     key = sets.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("key"))
@@ -174,7 +182,7 @@ def near_duplicates(docs: DataFrame, k: int = SKETCH, percent: int = PERCENT, si
 
 def open_members(lists: DataFrame, merged: DataFrame) -> DataFrame:
     """key and comp of the members of lists that still hold several components."""
-    at = materialize(lists.join(merged, "key", "left").select("v", "key", F.coalesce("comp", "key").alias("comp")), "placed")
+    at = lists.join(merged, "key", "left").select("v", "key", F.coalesce("comp", "key").alias("comp"))
     parts = at.groupBy("v").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low != high").select("v")
     return at.join(parts, "v", "left_semi").select("key", "comp").distinct()
 
@@ -199,7 +207,10 @@ def exact_links(members: DataFrame, docs: DataFrame, percent: int, size: int) ->
     once = F.get(F.array_intersect("la", "lb"), F.lit(0)) == F.col("va")
     pairs = side("a").join(side("b"), (F.col("va") == F.col("vb")) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _sizes_fit(F.col("na"), F.col("nb"), percent) & room & once)
     pairs = materialize(pairs.select("a", "b").distinct(), "open-pairs")
-    return pairs.join(sets_of(sets, "a"), "a").join(sets_of(sets, "b"), "b").filter(similar(percent)).select("a", "b").distinct()
+    discard(places)
+    links = materialize(pairs.join(sets_of(sets, "a"), "a").join(sets_of(sets, "b"), "b").filter(similar(percent)).select("a", "b").distinct(), "open-links")
+    discard(sets, pairs)
+    return links
 
 
 def sets_of(sets: DataFrame, x: str) -> DataFrame:
