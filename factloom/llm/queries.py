@@ -14,4 +14,4 @@ QUERIES = {
     "op9_token_counts": token_count.op9,
     "op10_near_duplicates": near_dup.op10,
 }
-ORACLES = {"op2_exact_top_k": topk.SQL2, "op3_mix_sources": mixing.SQL3}
+ORACLES = {"op2_exact_top_k": topk.SQL2, "op3_mix_sources": mixing.SQL3, "op4_warc": warc.SQL4, "op10_near_duplicates": near_dup.SQL10}

@@ -245,3 +245,19 @@ def test_words_in_blocks_are_words_of_texts():
     parts = np.concatenate([Words(t, a).hashes() for t, a, _ in blocks(data, at, 7)])
     assert (parts == h).all()
     assert shingles(h, whole.row, 6)[1].tolist() == [0, 2, 3, 4, 5]
+
+
+# --- SQL
+
+
+@pytest.mark.parametrize("name", ["op2_exact_top_k", "op4_warc", "op10_near_duplicates"])
+def test_queries_equal_their_sql(spark, name):
+    from factloom.llm import queries
+
+    got = queries.QUERIES[name](spark, SF)
+    names = sorted(got.columns)
+    db = duckdb.connect()
+    for table in ("documents", "embeddings", "pages"):
+        db.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
+    want = db.sql(queries.ORACLES[name]).project(", ".join(names)).fetchall()
+    assert sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in got.select(*names).collect())
