@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from factloom.llm import bpe, mixing, near_dup, quality_rules, toxicity
 from factloom.plans.stage import materialize, read_table
 
+#: Near duplicates of the pipeline: Jaccard of word shingles of 0.8 and more. The 85 of near_dup is op10's contract alone.
+PERCENT = 80
+
 
 def quality(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
@@ -27,7 +30,7 @@ def clean(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def distinct(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, that with the smallest doc_id; all without a doc_id."""
-    kept = near_dup.near_duplicates(docs.select("doc_id", "text")).filter("kept AND doc_id IS NOT NULL").select("doc_id")
+    kept = near_dup.near_duplicates(docs.select("doc_id", "text"), percent=PERCENT).filter("kept AND doc_id IS NOT NULL").select("doc_id")
     named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
     return named.unionByName(docs.filter("doc_id IS NULL"))
 
