@@ -158,21 +158,21 @@ def points_to_by_copies(spark, sf_dir):
 
 
 @query(f"WITH {CALLS} SELECT src AS function, count(DISTINCT dst) AS callees, max(step) AS weakest FROM edges GROUP BY 1")
-def callees(spark, sf_dir):
-    e = merged(workload.call_edges(spark, sf_dir), ["src", "dst"])
+def callees(spark, sf_dir, least=workload.QUANTITY):
+    e = merged(workload.call_edges(spark, sf_dir, least), ["src", "dst"])
     return e.groupBy(F.col("src").alias("function")).agg(F.count("*").alias("callees"), F.max("epistemic").alias("weakest"))
 
 
 @query(f"WITH {CALLS} SELECT DISTINCT src AS node FROM edges WHERE dst = (SELECT min(dst) FROM edges)")
-def callers_of_first(spark, sf_dir):
-    e = workload.call_edges(spark, sf_dir)
+def callers_of_first(spark, sf_dir, least=workload.QUANTITY):
+    e = workload.call_edges(spark, sf_dir, least)
     first = e.agg(F.min("dst")).first()[0]
     return graph.callers(e, first)
 
 
 @query(f"WITH {LINES} SELECT l_suppkey AS memory, count(DISTINCT l_partkey) AS writers FROM lines WHERE l_linestatus = 'F' GROUP BY 1")
-def writers(spark, sf_dir):
-    return workload.accesses(spark, sf_dir, "F").groupBy("memory").agg(F.count_distinct("function").alias("writers"))
+def writers(spark, sf_dir, least=workload.QUANTITY):
+    return workload.accesses(spark, sf_dir, "F", least).groupBy("memory").agg(F.count_distinct("function").alias("writers"))
 
 
 @query(f"""WITH RECURSIVE {SCC} SELECT node, component, (count(*) OVER (PARTITION BY component))::INT AS size,
@@ -221,8 +221,8 @@ def impact_set(spark, sf_dir):
 
 
 @query(f"WITH {CALLS} SELECT DISTINCT caller AS consumer FROM calls WHERE callee = (SELECT min(callee) FROM calls)")
-def users_of_first(spark, sf_dir):
-    d = workload.dependencies(spark, sf_dir)
+def users_of_first(spark, sf_dir, least=workload.QUANTITY):
+    d = workload.dependencies(spark, sf_dir, least)
     return delta.users_of(d, d.agg(F.min("producer")).first()[0])
 
 
@@ -236,12 +236,12 @@ def _function_id(c):
 FN = "'funcvar:sha256:' || sha256({}::VARCHAR)"
 
 
-def _summaries(spark, sf_dir):
+def _summaries(spark, sf_dir, least=workload.QUANTITY):
     """functions, calls, effects, flows and aliases in the shape of normalised summaries."""
-    rows = workload.lines(spark, sf_dir)
+    rows = workload.lines(spark, sf_dir, least)
     functions = rows.select("l_partkey").distinct().select(_function_id(F.col("l_partkey")).alias("function_id"), ids.stable_id("summary", F.col("l_partkey").cast("string")).alias("summary_id"))
     site = F.concat_ws(":", F.lit("site"), "ord", "pos")
-    calls = workload.call_sites(spark, sf_dir).select(_function_id(F.col("caller")).alias("function_id"), F.coalesce(F.col("callee").cast("string"), F.lit("unresolved")).alias("callee_symbol"), site.alias("call_site_anchor_id"), "epistemic", F.concat(F.lit("p"), "ord").alias("provenance_ref"), _function_id(F.col("callee")).alias("resolved_callee"))
+    calls = workload.call_sites(spark, sf_dir, least).select(_function_id(F.col("caller")).alias("function_id"), F.coalesce(F.col("callee").cast("string"), F.lit("unresolved")).alias("callee_symbol"), site.alias("call_site_anchor_id"), "epistemic", F.concat(F.lit("p"), "ord").alias("provenance_ref"), _function_id(F.col("callee")).alias("resolved_callee"))
     state = F.when(F.col("l_returnflag") == "A", 2).otherwise(1)
     ref = F.concat(F.lit("p"), "l_orderkey")
     effects = rows.select(_function_id(F.col("l_partkey")).alias("function_id"), F.when(F.col("l_linestatus") == "F", 2).otherwise(1).alias("kind"), F.concat(F.lit("mem:"), "l_suppkey").alias("location"), state.alias("epistemic"), ref.alias("provenance_ref"))
@@ -264,20 +264,20 @@ _P = FN.format("l_partkey")
 UNION ALL {_id_sql("(CASE WHEN l_linestatus = 'F' THEN 'DirectWrite' ELSE 'DirectRead' END)", [f"({_P})", "('mem:' || l_suppkey)"], "('mem:' || l_suppkey)", _S.format("l_partkey"), "('p' || l_orderkey)", "lines")}
 UNION ALL {_id_sql("'LocalFlow'", ["('v' || l_linenumber)", "('v' || l_suppkey)", f"({_P})"], "('flow:v' || l_linenumber || ':v' || l_suppkey)", _S.format("l_partkey"), "('p' || l_orderkey)", "lines")}
 UNION ALL {_id_sql("'MayAlias'", ["('mem:' || l_suppkey)", "('mem:' || l_linenumber)"], "('alias:mem:' || l_suppkey || ':mem:' || l_linenumber)", _S.format("l_partkey"), "('p' || l_orderkey)", "lines")})""")
-def base_facts(spark, sf_dir):
-    return facts.base_facts(*_summaries(spark, sf_dir)).select("tuple_id", "relation", "epistemic")
+def base_facts(spark, sf_dir, least=workload.QUANTITY):
+    return facts.base_facts(*_summaries(spark, sf_dir, least)).select("tuple_id", "relation", "epistemic")
 
 
 @query(f"""WITH {CALLS} SELECT DISTINCT 'fact:sha256:' || sha256({" || ".join(lp(x) for x in ["'factloom.fact.derived.v1'", "'ReachableCall'", "src::VARCHAR", "dst::VARCHAR", "step::VARCHAR", "'reachable.direct.v1'", "least('a' || src, 'b' || dst)", "greatest('a' || src, 'b' || dst)"])}) AS tuple_id FROM edges""")
-def derived_fact_ids(spark, sf_dir):
-    e = merged(workload.call_edges(spark, sf_dir), ["src", "dst"])
+def derived_fact_ids(spark, sf_dir, least=workload.QUANTITY):
+    e = merged(workload.call_edges(spark, sf_dir, least), ["src", "dst"])
     inputs = F.array(F.concat(F.lit("b"), "dst"), F.concat(F.lit("a"), "src"))
     return e.select(ids.derived_fact_id(F.lit("ReachableCall"), F.array(F.col("src").cast("string"), F.col("dst").cast("string")), F.col("epistemic"), F.lit("reachable.direct.v1"), inputs).alias("tuple_id"))
 
 
 @query(f"WITH {CALLS} SELECT ord, pos, 'callsite:sha256:' || sha256({FN.format('caller')} || chr(0) || pos) AS site FROM calls")
-def call_site_ids(spark, sf_dir):
-    c = workload.call_sites(spark, sf_dir)
+def call_site_ids(spark, sf_dir, least=workload.QUANTITY):
+    c = workload.call_sites(spark, sf_dir, least)
     return c.select("ord", "pos", ids.stable_id("callsite", F.concat(_function_id(F.col("caller")), F.lit("\0"), F.col("pos").cast("string"))).alias("site"))
 
 
@@ -293,13 +293,13 @@ def dense_ids(spark, sf_dir):
 
 
 @query(f"WITH {CALLS} SELECT ord, pos, caller, reason FROM calls WHERE callee IS NULL")
-def unknown_calls(spark, sf_dir):
-    return workload.call_sites(spark, sf_dir).filter("callee IS NULL").select("ord", "pos", "caller", "reason")
+def unknown_calls(spark, sf_dir, least=workload.QUANTITY):
+    return workload.call_sites(spark, sf_dir, least).filter("callee IS NULL").select("ord", "pos", "caller", "reason")
 
 
 @query(f"""WITH {CALLS} SELECT 'DirectCall' AS relation, count(*) AS n FROM calls WHERE callee IS NOT NULL UNION ALL SELECT 'UnknownCall', count(*) FROM calls WHERE callee IS NULL""")
-def typed_calls(spark, sf_dir):
-    c = workload.call_sites(spark, sf_dir).withColumn("site", F.concat_ws(":", "ord", "pos"))
+def typed_calls(spark, sf_dir, least=workload.QUANTITY):
+    c = workload.call_sites(spark, sf_dir, least).withColumn("site", F.concat_ws(":", "ord", "pos"))
     direct, unknown = facts.typed_calls(c)
     return direct.agg(F.count("*").alias("n")).select(F.lit("DirectCall").alias("relation"), "n").union(unknown.agg(F.count("*").alias("n")).select(F.lit("UnknownCall"), "n"))
 
@@ -308,8 +308,8 @@ def typed_calls(spark, sf_dir):
 g AS (SELECT caller, site, count(DISTINCT callee) AS t, bool_or(callee IS NULL) AS o, bool_or(epistemic <> 2 AND callee IS NOT NULL) AS s, count(DISTINCT (callee, epistemic)) AS f FROM c GROUP BY 1, 2),
 k AS (SELECT caller, site, CASE WHEN o AND t > 0 THEN 'resolved and unknown' WHEN t > 1 AND s THEN 'several targets' WHEN NOT o AND f > t THEN 'two states' END AS rule FROM g)
 SELECT * FROM k WHERE rule IS NOT NULL""")
-def call_conflicts(spark, sf_dir):
-    c = workload.call_sites(spark, sf_dir).select(F.col("ord").alias("caller"), (F.col("pos") % 2).alias("site"), "callee", "epistemic")
+def call_conflicts(spark, sf_dir, least=workload.QUANTITY):
+    c = workload.call_sites(spark, sf_dir, least).select(F.col("ord").alias("caller"), (F.col("pos") % 2).alias("site"), "callee", "epistemic")
     return facts.call_conflicts(c)
 
 
@@ -317,24 +317,24 @@ STATE = "((l_linenumber + l_suppkey) % 6 + 1)"
 
 
 @query(f"SELECT {STATE}::INT AS epistemic, CASE WHEN {STATE} = 3 THEN 'UnsupportedFeature' ELSE 'LocalFlow' END AS route, count(*) AS n FROM lineitem WHERE l_quantity >= 46 GROUP BY 1, 2")
-def routed_flows(spark, sf_dir):
-    rows = workload.lines(spark, sf_dir).select(((F.col("l_linenumber") + F.col("l_suppkey")) % 6 + 1).cast("int").alias("epistemic"))
+def routed_flows(spark, sf_dir, least=workload.QUANTITY):
+    rows = workload.lines(spark, sf_dir, least).select(((F.col("l_linenumber") + F.col("l_suppkey")) % 6 + 1).cast("int").alias("epistemic"))
     return facts.routed(rows, "LocalFlow").groupBy("epistemic", "route").agg(F.count("*").alias("n"))
 
 
 @query(f"""SELECT e::INT AS epistemic, e::INT - 1 AS typed, (e IN (1, 2)) AS positive, (CASE e WHEN 1 THEN 0 WHEN 3 THEN 2 WHEN 6 THEN 3 ELSE 1 END)::INT AS alias_state
 FROM (SELECT DISTINCT {STATE} AS e FROM lineitem WHERE l_quantity >= 46)""")
-def lattice_states(spark, sf_dir):
+def lattice_states(spark, sf_dir, least=workload.QUANTITY):
     e = F.col("epistemic")
-    rows = workload.lines(spark, sf_dir).select(((F.col("l_linenumber") + F.col("l_suppkey")) % 6 + 1).cast("int").alias("epistemic")).distinct()
+    rows = workload.lines(spark, sf_dir, least).select(((F.col("l_linenumber") + F.col("l_suppkey")) % 6 + 1).cast("int").alias("epistemic")).distinct()
     return rows.select("epistemic", to_typed(e).alias("typed"), positive(e).alias("positive"), alias_state(e).alias("alias_state"))
 
 
 @query("""SELECT CASE WHEN l_discount > 0.02 AND l_tax > 0.02 THEN 1 ELSE 0 END AS range_kind, sum(CASE WHEN l_discount > 0.02 AND l_tax > 0.02 THEN l_linenumber ELSE 0 END)::BIGINT AS bytes
 FROM lineitem WHERE l_quantity >= 46 GROUP BY 1""")
-def byte_ranges(spark, sf_dir):
+def byte_ranges(spark, sf_dir, least=workload.QUANTITY):
     n = F.col("l_linenumber").cast("long")
-    r = workload.lines(spark, sf_dir).select(facts.byte_range(F.when(F.col("l_discount") > 0.02, n), F.when(F.col("l_tax") > 0.02, n)).alias("r"))
+    r = workload.lines(spark, sf_dir, least).select(facts.byte_range(F.when(F.col("l_discount") > 0.02, n), F.when(F.col("l_tax") > 0.02, n)).alias("r"))
     return r.groupBy(F.col("r.range_kind").alias("range_kind")).agg(F.sum("r.size").alias("bytes"))
 
 
@@ -358,16 +358,16 @@ def property_graph_edges(spark, sf_dir):
 
 
 @query("SELECT 'none'::VARCHAR AS rule, 0::BIGINT AS n")
-def property_graph_violations(spark, sf_dir):
-    functions, calls, effects, flows, aliases = _summaries(spark, sf_dir)
+def property_graph_violations(spark, sf_dir, least=workload.QUANTITY):
+    functions, calls, effects, flows, aliases = _summaries(spark, sf_dir, least)
     nodes, edges = facts.property_graph(functions, calls, effects, flows, aliases)
     bad = facts.graph_violations(materialize(nodes, "nodes"), materialize(edges, "edges")).agg(F.count("*").alias("n"))
     return bad.select(F.when(F.col("n") == 0, "none").otherwise("some").alias("rule"), "n")
 
 
 @query("SELECT 'none'::VARCHAR AS rule, 0::BIGINT AS n")
-def base_fact_violations(spark, sf_dir):
-    bad = facts.fact_violations(facts.base_facts(*_summaries(spark, sf_dir))).agg(F.count("*").alias("n"))
+def base_fact_violations(spark, sf_dir, least=workload.QUANTITY):
+    bad = facts.fact_violations(facts.base_facts(*_summaries(spark, sf_dir, least))).agg(F.count("*").alias("n"))
     return bad.select(F.when(F.col("n") == 0, "none").otherwise("some").alias("rule"), "n")
 
 
@@ -407,33 +407,33 @@ def proof_closure(spark, sf_dir):
 
 
 @query(f"WITH {ITEMS} SELECT function, revision, component, digest, item_count FROM digests")
-def component_digests(spark, sf_dir):
-    return delta.component_digests(workload.summary_items(spark, sf_dir), ["function", "revision"])
+def component_digests(spark, sf_dir, least=workload.QUANTITY):
+    return delta.component_digests(workload.summary_items(spark, sf_dir, least), ["function", "revision"])
 
 
-def _changes(spark, sf_dir):
-    d = materialize(component_digests(spark, sf_dir), "digests")
+def _changes(spark, sf_dir, least=workload.QUANTITY):
+    d = materialize(component_digests(spark, sf_dir, least), "digests")
     side = lambda r: d.filter(F.col("revision") == r).drop("revision")
     return delta.diff(side("old"), side("new"), ["function"])
 
 
 @query(f"WITH {ITEMS} SELECT * FROM changes")
-def summary_diff(spark, sf_dir):
-    return _changes(spark, sf_dir)
+def summary_diff(spark, sf_dir, least=workload.QUANTITY):
+    return _changes(spark, sf_dir, least)
 
 
 @query(f"WITH {ITEMS} SELECT function, bool_or(component = 1) AS calls_changed, bool_or(component = 2) AS effects_changed FROM changes GROUP BY 1")
-def delta_flags(spark, sf_dir):
-    return delta.delta_flags(_changes(spark, sf_dir), ["function"])
+def delta_flags(spark, sf_dir, least=workload.QUANTITY):
+    return delta.delta_flags(_changes(spark, sf_dir, least), ["function"])
 
 
 @query(f"WITH {ITEMS} SELECT DISTINCT src AS target FROM edges WHERE dst IN (SELECT function FROM changes)")
-def scheduled_predecessors(spark, sf_dir):
-    d = materialize(component_digests(spark, sf_dir), "digests").withColumnRenamed("digest", "external_hash")
+def scheduled_predecessors(spark, sf_dir, least=workload.QUANTITY):
+    d = materialize(component_digests(spark, sf_dir, least), "digests").withColumnRenamed("digest", "external_hash")
     side = lambda r: d.filter(F.col("revision") == r).select("function", "component", "external_hash")
     new, old = side("new"), side("old")
     changed = delta.external_changes(old, new, ["function", "component"]).select("function").union(old.join(new, ["function", "component"], "left_anti").select("function"))
-    edges = workload.call_edges(spark, sf_dir).select(F.col("src").alias("src_scc"), F.col("dst").alias("dst_scc"))
+    edges = workload.call_edges(spark, sf_dir, least).select(F.col("src").alias("src_scc"), F.col("dst").alias("dst_scc"))
     return delta.schedule_predecessors(changed.select(F.col("function").alias("component")).distinct(), edges)
 
 
@@ -478,8 +478,8 @@ def content_addressed_put(spark, sf_dir):
 
 
 @query("SELECT s_suppkey FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_quantity >= 46 AND l_linestatus = 'F')")
-def orphaned_states(spark, sf_dir):
-    used = workload.accesses(spark, sf_dir, "F").select(F.col("memory").alias("s_suppkey"))
+def orphaned_states(spark, sf_dir, least=workload.QUANTITY):
+    used = workload.accesses(spark, sf_dir, "F", least).select(F.col("memory").alias("s_suppkey"))
     return delta.orphans(read_table(spark, sf_dir, "supplier").select("s_suppkey"), used, "s_suppkey")
 
 
@@ -505,8 +505,27 @@ def hourly_events(spark, sf_dir):
 
 
 @query(f"""WITH {CALLS}, {LINES} SELECT l_partkey AS function, bool_and(l_linestatus = 'F') AS all_writes, bool_or(epistemic = 2) AS some_may FROM lines WHERE l_partkey IN (SELECT src FROM edges) GROUP BY 1""")
-def quantified_effects(spark, sf_dir):
+def quantified_effects(spark, sf_dir, least=workload.QUANTITY):
     """For all and exists over the effects of functions that call."""
-    e = workload.accesses(spark, sf_dir, "F").withColumn("write", F.lit(True)).unionByName(workload.accesses(spark, sf_dir, "O").withColumn("write", F.lit(False)))
-    callers = workload.call_edges(spark, sf_dir).select(F.col("src").alias("function"))
+    e = workload.accesses(spark, sf_dir, "F", least).withColumn("write", F.lit(True)).unionByName(workload.accesses(spark, sf_dir, "O", least).withColumn("write", F.lit(False)))
+    callers = workload.call_edges(spark, sf_dir, least).select(F.col("src").alias("function"))
     return e.join(callers, "function", "left_semi").groupBy("function").agg(F.bool_and("write").alias("all_writes"), F.bool_or(F.col("epistemic") == 2).alias("some_may"))
+
+
+# --- all line items
+
+
+def _whole(f) -> None:
+    """Registers a query again under the name ..._whole, over all line items; its SQL is the same without the filter."""
+    name = f"{f.__name__}_whole"
+    QUERIES[name] = lambda spark, sf_dir: f(spark, sf_dir, least=None)
+    ORACLES[name] = ORACLES[f.__name__].replace("l_quantity >= 46 AND ", "").replace("WHERE l_quantity >= 46", "")
+
+
+for _f in (
+    callees, callers_of_first, writers, users_of_first, base_facts, derived_fact_ids, call_site_ids,
+    unknown_calls, typed_calls, call_conflicts, routed_flows, lattice_states, byte_ranges, base_fact_violations,
+    component_digests, summary_diff, delta_flags, scheduled_predecessors, orphaned_states, quantified_effects,
+    property_graph_violations,
+):
+    _whole(_f)

@@ -161,3 +161,19 @@ def test_query_equals_its_sql(spark, name):
     want = con.sql(catalog.ORACLES[name])
     got = catalog.QUERIES[name](spark, SF).select(*want.columns)
     assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want.fetchall()))
+
+
+#: Queries without recursion over all line items. Two that compare digests stand for the longer ones.
+WHOLE = ["base_facts", "summary_diff", "routed_flows", "byte_ranges", "orphaned_states", "quantified_effects", "callees", "call_conflicts"]
+
+
+@pytest.mark.parametrize("name", [f"{n}_whole" for n in WHOLE])
+def test_whole_query_equals_its_sql_over_all_rows(spark, name):
+    assert "l_quantity" not in catalog.ORACLES[name]
+    test_query_equals_its_sql(spark, name)
+
+
+def test_whole_queries_lose_no_line_item(spark):
+    n = spark.read.parquet(f"{SF}/lineitem.parquet").count()
+    assert catalog.QUERIES["routed_flows_whole"](spark, SF).groupBy().sum("n").first()[0] == n
+    assert catalog.QUERIES["call_site_ids_whole"](spark, SF).count() == n
