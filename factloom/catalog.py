@@ -515,11 +515,15 @@ def quantified_effects(spark, sf_dir, least=workload.QUANTITY):
 # --- all line items
 
 
+def _all_rows(sql: str) -> str:
+    return sql.replace("l_quantity >= 46 AND ", "").replace("WHERE l_quantity >= 46", "")
+
+
 def _whole(f) -> None:
     """Registers a query again under the name ..._whole, over all line items; its SQL is the same without the filter."""
     name = f"{f.__name__}_whole"
     QUERIES[name] = lambda spark, sf_dir: f(spark, sf_dir, least=None)
-    ORACLES[name] = ORACLES[f.__name__].replace("l_quantity >= 46 AND ", "").replace("WHERE l_quantity >= 46", "")
+    ORACLES[name] = _all_rows(ORACLES[f.__name__])
 
 
 for _f in (
@@ -529,3 +533,20 @@ for _f in (
     property_graph_violations,
 ):
     _whole(_f)
+
+
+@query(f"""WITH {_all_rows(CALLS)}, {_all_rows(LINES)}, k AS (
+  SELECT DISTINCT CASE WHEN epistemic = 1 THEN 2 ELSE 3 END AS kind, caller AS a, callee::VARCHAR AS b FROM calls WHERE callee IS NOT NULL
+  UNION SELECT 3, caller, '' FROM calls WHERE callee IS NULL
+  UNION SELECT CASE WHEN l_linestatus = 'F' THEN 5 ELSE 4 END, l_partkey, 'm' || l_suppkey FROM lines
+  UNION SELECT 6, l_partkey, l_linenumber || '>' || l_suppkey FROM lines
+  UNION SELECT 7, l_partkey, epistemic || ':' || l_suppkey || '=' || l_linenumber FROM lines
+  UNION SELECT 9, l_partkey, '' FROM lines
+  UNION SELECT 10, caller, ord || ':' || pos || ':' || reason FROM calls WHERE callee IS NULL)
+SELECT kind::INT AS kind, count(*) AS edges FROM k GROUP BY 1""")
+def property_graph_edges_whole(spark, sf_dir):
+    """All calls, resolved or not; each unresolved site is also an unknown of its caller."""
+    sites = workload.call_sites(spark, sf_dir, None).filter("callee IS NULL")
+    unknowns = sites.select(_function_id(F.col("caller")).alias("function_id"), F.lit("unresolved-call").alias("kind"), F.concat_ws(":", F.lit("site"), "ord", "pos").alias("scope"), "reason")
+    _, edges = facts.property_graph(*_summaries(spark, sf_dir, None), unknowns)
+    return edges.groupBy("kind").agg(F.count("*").alias("edges"))

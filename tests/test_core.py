@@ -164,7 +164,7 @@ def test_query_equals_its_sql(spark, name):
 
 
 #: Queries without recursion over all line items. Two that compare digests stand for the longer ones.
-WHOLE = ["base_facts", "summary_diff", "routed_flows", "byte_ranges", "orphaned_states", "quantified_effects", "callees", "call_conflicts"]
+WHOLE = ["base_facts", "summary_diff", "routed_flows", "byte_ranges", "orphaned_states", "quantified_effects", "callees", "call_conflicts", "property_graph_edges", "property_graph_violations"]
 
 
 @pytest.mark.parametrize("name", [f"{n}_whole" for n in WHOLE])
@@ -177,3 +177,15 @@ def test_whole_queries_lose_no_line_item(spark):
     n = spark.read.parquet(f"{SF}/lineitem.parquet").count()
     assert catalog.QUERIES["routed_flows_whole"](spark, SF).groupBy().sum("n").first()[0] == n
     assert catalog.QUERIES["call_site_ids_whole"](spark, SF).count() == n
+
+
+def test_unresolved_calls_are_may_calls_and_unknowns_have_edges(spark):
+    df = lambda rows, schema: spark.createDataFrame(rows, schema)
+    functions = df([("f", "s")], "function_id string, summary_id string")
+    calls = df([("f", "printf", 1, None), ("f", "f", 1, "f")], "function_id string, callee_symbol string, epistemic int, resolved_callee string")
+    none = [df([], f"function_id string, {c}") for c in ("kind int, location string, epistemic int", "source string, sink string, epistemic int", "location_a string, location_b string, epistemic int")]
+    unknowns = df([("f", "asm", "block", "inline")], "function_id string, kind string, scope string, reason string")
+    nodes, edges = facts.property_graph(functions, calls, *none, unknowns)
+    assert sorted(r["kind"] for r in edges.collect()) == [facts.EDGE[k] for k in ("CALLS", "MAY_CALL", "SUMMARIZED_BY", "UNKNOWN_AT")]
+    assert {r["label"] for r in nodes.filter(F.col("kind") == facts.NODE["unknown"]).collect()} == {"printf", "asm"}
+    assert facts.graph_violations(nodes, edges).isEmpty()
