@@ -217,7 +217,7 @@ SELECT consumer, min(depth)::INT AS depth FROM r GROUP BY 1""")
 def impact_set(spark, sf_dir):
     d = workload.dependencies(spark, sf_dir)
     seeds = d.filter("producer % 10 = 0").select("producer").distinct().withColumn("sensitivity", F.lit(0))
-    return graph.impact(d, seeds, max_consumers=None)[0]
+    return graph.impact(d, seeds, max_depth=None, max_consumers=None)[0]
 
 
 @query(f"WITH {CALLS} SELECT DISTINCT caller AS consumer FROM calls WHERE callee = (SELECT min(callee) FROM calls)")

@@ -150,6 +150,8 @@ def components(links: DataFrame, rounds: int = 40) -> DataFrame:
         if (seen["n"], seen["h"]) == mark:
             break
         mark = (seen["n"], seen["h"])
+    else:
+        raise RuntimeError(f"components are not closed after {rounds} rounds")
     return edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("key"), F.col("m").alias("comp")).union(edges.select(F.col("v").alias("key"), F.col("v").alias("comp")).distinct())
 
 

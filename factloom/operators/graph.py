@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -140,16 +142,17 @@ def taint(flows: DataFrame, sources: DataFrame, blocked: DataFrame) -> DataFrame
     return close(open_.select("src", "dst", "epistemic"), open_.select(F.col("src").alias("source"), F.col("dst").alias("target"), "epistemic")).facts.join(seed.select(F.col("src").alias("source")).distinct(), "source", "left_semi")
 
 
-def impact(dependencies: DataFrame, seeds: DataFrame, max_depth: int = 16, max_consumers: int | None = 1000) -> tuple[DataFrame, bool]:
+def impact(dependencies: DataFrame, seeds: DataFrame, max_depth: int | None = 16, max_consumers: int | None = 1000) -> tuple[DataFrame, bool]:
     """Consumers (consumer, depth) that seeds (producer, sensitivity) reach, and whether a budget cut the search.
 
-    An edge is followed only if its sensitivity is that of the change. The least ``max_consumers`` by depth and name stay.
+    An edge is followed only if its sensitivity is that of the change. Without max_depth the search ends at the empty
+    frontier. The least ``max_consumers`` by depth and name stay.
     """
     d = materialize(dependencies.select("consumer", "producer", "sensitivity").distinct(), "deps")
     front = seeds.select("producer", "sensitivity").distinct()
     seen = None
     truncated = False
-    for depth in range(1, max_depth + 1):
+    for depth in count(1) if max_depth is None else range(1, max_depth + 1):
         step = d.join(front, ["producer", "sensitivity"]).select("consumer", "sensitivity").distinct()
         if seen is not None:
             step = step.join(seen.select("consumer", "sensitivity"), ["consumer", "sensitivity"], "left_anti")
@@ -180,6 +183,6 @@ def points_to(address_of: DataFrame, copies: DataFrame, stores: DataFrame, loads
         by_load = loads.join(p, loads.ptr == p.pv).join(q, F.col("po") == q.qv).select(F.col("dst").alias("var"), F.col("qo").alias("obj"))
         new = materialize(by_copy.union(by_store).union(by_load).distinct().join(total, ["var", "obj"], "left_anti"), "pts-new")
         if new.isEmpty():
-            break
+            return total
         total = materialize(total.union(new), "pts")
-    return total
+    raise RuntimeError(f"points-to has no fixpoint after {max_rounds} rounds")

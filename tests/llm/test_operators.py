@@ -235,6 +235,12 @@ def test_ids_that_repeat_or_lack(spark):
     assert near_dup.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_components_that_are_not_closed_raise(spark):
+    pairs = spark.createDataFrame([(i, i + 1) for i in range(6)], "a long, b long")
+    with pytest.raises(RuntimeError):
+        near_dup.components(pairs, rounds=1)
+
+
 def test_words_in_blocks_are_words_of_texts():
     texts = ["a bb", "", "bb", "c" * 100, " x ", "bb a"]
     data, at = column_bytes(pa.array(texts))

@@ -189,3 +189,15 @@ def test_unresolved_calls_are_may_calls_and_unknowns_have_edges(spark):
     assert sorted(r["kind"] for r in edges.collect()) == [facts.EDGE[k] for k in ("CALLS", "MAY_CALL", "SUMMARIZED_BY", "UNKNOWN_AT")]
     assert {r["label"] for r in nodes.filter(F.col("kind") == facts.NODE["unknown"]).collect()} == {"printf", "asm"}
     assert facts.graph_violations(nodes, edges).isEmpty()
+
+
+def test_impact_without_a_depth_runs_to_the_end(spark):
+    d = spark.createDataFrame([(f"c{i + 1}", f"c{i}", 0) for i in range(20)], "consumer string, producer string, sensitivity int")
+    found, cut = graph.impact(d, spark.createDataFrame([("c0", 0)], "producer string, sensitivity int"), max_depth=None, max_consumers=None)
+    assert not cut and found.count() == 20
+
+
+def test_rounds_that_run_out_raise(spark):
+    df = lambda rows, a, b: spark.createDataFrame(rows, f"{a} string, {b} string")
+    with pytest.raises(RuntimeError):
+        graph.points_to(df([("a", "o")], "var", "obj"), df([("b", "a"), ("c", "b")], "dst", "src"), df([], "ptr", "src"), df([], "dst", "ptr"), max_rounds=1)
