@@ -389,9 +389,9 @@ def proof_ranks(spark, sf_dir):
 
 @query()
 def proof_explanations(spark, sf_dir):
-    """All facts that the weakest rows of every twentieth function rest on."""
+    """All facts that the weakest rows rest on."""
     _, p = _proofs(spark, sf_dir)
-    return proof.explain(p, proof.final_rows(p).filter("source % 20 = 0").select("tuple_id"))[0].select("tuple_id", "source", "target", "epistemic", "rank", "rule", "inputs")
+    return proof.explain(p, proof.final_rows(p).select("tuple_id"))[0].select("tuple_id", "source", "target", "epistemic", "rank", "rule", "inputs")
 
 
 @query("SELECT 0::BIGINT AS missing, 0::BIGINT AS unproven")
@@ -535,6 +535,35 @@ for _f in (
     _whole(_f)
 
 
+# --- all roots and changes
+
+
+@query(f"""WITH RECURSIVE {CALLS}, r AS (SELECT DISTINCT src AS root, src AS node, 0 AS depth FROM edges
+  UNION SELECT root, dst, depth + 1 FROM r JOIN edges ON node = src WHERE depth < 4) SELECT root, node, min(depth)::INT AS depth FROM r GROUP BY 1, 2""")
+def paths_within_four_of_all(spark, sf_dir):
+    e = workload.call_edges(spark, sf_dir)
+    return graph.within(e, e.select(F.col("src").alias("root")).distinct(), 4)
+
+
+@query(f"""WITH RECURSIVE {ITEMS}, deps AS (SELECT DISTINCT caller AS consumer, callee AS producer, epistemic - 1 AS sensitivity FROM calls WHERE callee IS NOT NULL),
+ch AS (SELECT DISTINCT function FROM changes), r AS (SELECT consumer FROM deps WHERE sensitivity = 0 AND producer IN (SELECT function FROM ch)
+  UNION SELECT deps.consumer FROM r JOIN deps ON deps.producer = r.consumer AND sensitivity = 0) SELECT consumer FROM r""")
+def impact_of_changes(spark, sf_dir):
+    """Consumers, at any depth, of the functions that summary_diff reports."""
+    seeds = _changes(spark, sf_dir).select(F.col("function").alias("producer")).distinct().withColumn("sensitivity", F.lit(0))
+    return graph.impact(workload.dependencies(spark, sf_dir), seeds, max_depth=None, max_consumers=None)[0].select("consumer")
+
+
+@query(f"""WITH RECURSIVE {ITEMS}, {REACH} SELECT source, target, max(epistemic) AS epistemic FROM r WHERE source IN (SELECT function FROM changes) GROUP BY 1, 2""")
+def reachable_call_of_changed(spark, sf_dir):
+    """Only what the functions that summary_diff reports reach is closed."""
+    e = materialize(workload.call_edges(spark, sf_dir), "calls")
+    roots = _changes(spark, sf_dir).select(F.col("function").alias("node")).distinct()
+    part = closure.descend(e, roots)
+    found = closure.close(part, part.select(F.col("src").alias("source"), F.col("dst").alias("target"), "epistemic")).facts
+    return found.join(roots.withColumnRenamed("node", "source"), "source", "left_semi")
+
+
 @query(f"""WITH {_all_rows(CALLS)}, {_all_rows(LINES)}, k AS (
   SELECT DISTINCT CASE WHEN epistemic = 1 THEN 2 ELSE 3 END AS kind, caller AS a, callee::VARCHAR AS b FROM calls WHERE callee IS NOT NULL
   UNION SELECT 3, caller, '' FROM calls WHERE callee IS NULL

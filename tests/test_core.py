@@ -201,3 +201,14 @@ def test_rounds_that_run_out_raise(spark):
     df = lambda rows, a, b: spark.createDataFrame(rows, f"{a} string, {b} string")
     with pytest.raises(RuntimeError):
         graph.points_to(df([("a", "o")], "var", "obj"), df([("b", "a"), ("c", "b")], "dst", "src"), df([], "ptr", "src"), df([], "dst", "ptr"), max_rounds=1)
+
+
+@pytest.mark.parametrize("name", ["paths_within_four_of_all", "impact_of_changes", "reachable_call_of_changed"])
+def test_query_over_all_roots_equals_its_sql(spark, name):
+    test_query_equals_its_sql(spark, name)
+
+
+def test_all_weakest_rows_are_explained(spark):
+    _, p = catalog._proofs(spark, SF)
+    got = catalog.QUERIES["proof_explanations"](spark, SF)
+    assert proof.final_rows(p).join(got, "tuple_id", "left_anti").isEmpty()
