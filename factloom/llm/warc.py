@@ -138,11 +138,13 @@ class _Member:
         return self.at - len(self.inflate.unused_data)
 
     def head(self) -> dict[str, str] | None:
-        """The fields of the header up to the empty line, or None if this is no record."""
-        while b"\r\n\r\n" not in self.ready:
-            if not b"WARC/1.".startswith(self.ready[:7]) and not self.ready.startswith(b"WARC/1.") or len(self.ready) > 1 << 20 or not self.more():
+        """The fields of the header up to the empty line, however long, or None if this is no record."""
+        seen = 0
+        while (end := self.ready.find(b"\r\n\r\n", max(0, seen - 3))) < 0:
+            seen = len(self.ready)
+            if not b"WARC/1.".startswith(self.ready[:7]) and not self.ready.startswith(b"WARC/1.") or not self.more():
                 return None
-        head, self.ready = self.ready.split(b"\r\n\r\n", 1)
+        head, self.ready = self.ready[:end], self.ready[end + 4 :]
         lines = head.decode("utf-8", "replace").split("\r\n")
         if not lines[0].startswith("WARC/1."):
             return None

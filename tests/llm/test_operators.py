@@ -130,6 +130,13 @@ def test_magic_inside_a_payload_starts_no_record():
     assert ids == ["<urn:page:1>", "<urn:page:2>"]
 
 
+def test_a_long_url_does_not_hide_its_record():
+    url = "http://x/" + np.random.default_rng(1).bytes(1_000_000).hex()
+    data = warc.record(1, url, b"a", "D", None) + warc.record(2, "u", b"b", "D", None)
+    got = [(h["warc-record-id"], h["warc-target-uri"]) for h, _ in warc.read_range(io.BytesIO(data), 0, len(data), len(data))]
+    assert got == [("<urn:page:1>", url), ("<urn:page:2>", "u")]
+
+
 # --- tokens
 
 
