@@ -3,7 +3,9 @@ obfuscation rates), calibrated by isotonic regression.
 
 The lexicon has a fixed part and one learned from the labelled rows: beginnings of words (4, 5, 6 and 8 bytes) that stand
 in toxic documents far more often than chance allows. A bounded hash sample of labelled rows (FIT_ROWS, a parameter) is
-split by hash: half of it gives the lexicon, a third the trees, the rest the calibration. Features of every whole text come from
+split by hash: half of it gives the lexicon, a third the trees, the rest the calibration. With fewer than
+4,000 rows beyond the lexicon's half (about 8,000 labelled training rows) the trees' rows calibrate as well, so scores of
+small tables follow another calibration than those of large ones. Features of every whole text come from
 vectorised scans of its bytes; trees and calibration are SQL expressions.
 
 Defined cases: a null or empty text has all features 0 and gets the score of such a row. Rows without doc_id are held out.
@@ -253,7 +255,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Toxicit
     rest = materialize(with_features(sample.filter(part >= 3), lexicon, ["doc_id", "label"]), "toxic-features")
     names = [f"_f_{f}" for f in FEATURES]
     model = gbt.fit(rest.filter(part < 5), names, "label", rounds=20, depth=3)
-    # A few hundred rows are too few to keep apart: then the rows of the trees calibrate as well.
+    # Under 4,000 rows a sixth of the sample is too few to keep apart: then the rows of the trees calibrate as well.
     held = rest if rest.count() < 4000 else rest.filter(part == 5)
     return Toxicity(lexicon, model, gbt.isotonic(held, model.margin(names), "label"))
 
