@@ -1,13 +1,14 @@
 """BPE encoding and decoding by content-defined chunk reuse.
 
 A text is cut where a rolling hash of the bytes before a space or line feed says so, so that equal passages give equal
-chunks wherever they stand. A worker encodes each chunk that its bounded cache does not hold once and reuses it for every
-later document; the words of a chunk come from a word cache in the same way, and words new to both are merged in one
+chunks wherever they stand. A worker encodes each chunk that its cache does not hold and reuses it until CHUNK_CACHE later ones
+have pushed it out; then it is encoded again. Cuts are far apart (CUT_EVERY), so a shared passage is reused only if two of
+them fall into it, which is rare below some hundred words; the words of a chunk come from a word cache in the same way, and words new to both are merged in one
 vectorised batch per block. At every join the words on both sides are encoded again by the library, over a span that grows
 until it agrees with the pieces, else the whole text is encoded by the library. The result equals the library's.
 
 Nothing is shuffled. Sharing one encoding of a chunk among all workers would need the texts to be shuffled by chunk and
-the ids back by document, more than this operator's disk budget, so a chunk is encoded once for each worker.
+the ids back by document, more than this operator's disk budget, so workers share none.
 
 Defined cases: a null or empty text has no ids and decodes to the empty text. Strings of special tokens inside a text are
 read as the library reads them by default. Repeated rows give equal rows. An empty table gives no rows.
