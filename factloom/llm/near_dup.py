@@ -5,24 +5,33 @@ different sets share give the candidates, the sketch of a pair's union estimates
 whole sets decides. Steps:
 
 1. Rows with equal sets form a class at once; only one row of each class goes on, so copies never make pairs.
-2. Retained values in fewer than two classes are dropped. A pair as similar as asked shares at least ``least`` of its
-   retained values, so each class needs to be listed only under its first few in the order of rarity.
-3. Each list has a hub, the member whose values are the most common. Every member is compared with the hub: pairs grow
+2. The LISTED smallest values of each sketch are listed. Values in one class alone are dropped, and a pair as similar as
+   asked shares at least ``least_shared`` of the rest, so a class is listed only under its first few by rarity.
+3. The whole sets of the listed classes are computed once and written in buckets by class, so that later joins move the
+   pairs to the sets and not the sets to the pairs.
+4. Each list has a hub, the member whose values are the most common. Every member is compared with the hub: pairs grow
    with the lists' lengths, not their squares. Linked members merge.
-4. Members of lists that still hold several components go through an exact prefix join over their whole sets, only
-   across components; so no link between components is lost, and pairs that the prefixes rule out are never made.
-5. Components come from alternating large-star and small-star rounds over the verified links.
+5. Lists that still hold several components: those of at most SHORT members compare all of them across components, a
+   bounded number for each member. The members of longer ones go through an exact prefix join over their whole sets.
+   Either way no link between components of a list is lost.
+6. Components come from alternating large-star and small-star rounds over the verified links, until nothing changes.
 
-With k = 64, a pair of similarity 0.85 shares less than 0.55 of a full sketch with a chance under 1e-8 (binomial); sets
-smaller than the sketch are listed without loss.
+Two sets as similar as asked share fewer listed values than ``least_shared`` with a chance under LOSS, and their union
+sketch estimates less than MARGIN below the bar with one under 1e-8 (both binomial); sets smaller than the sketch are
+listed without loss. tests/llm hold the groups against all pairs.
+
+Keys with many rows are split: copies and hubs meet their class by joins of two shuffles, which Spark splits by size.
 
 Defined cases: a null or blank text has no shingles, n_shingles 0 and is linked with nothing. A row without doc_id is linked
-with nothing, its component is null and it is kept. Rows that share a doc_id are one document: their links add up. An
-empty table gives no rows.
+with nothing, its component is null and it is kept. Rows that share a doc_id are one document: their links add up, and all
+of them get its component. A text of any length is one set, held whole by one task; the longest one sets the memory that a
+worker needs (about 100 bytes for each of its words). Columns other than doc_id and text are not read. An empty table
+gives no rows.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,10 +39,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.textvec import LOWER, Words, blocks, column_bytes, mix64, shingles
-from factloom.plans.stage import discard, materialize
+from factloom.llm.textvec import LOWER, Words, blocks, column_bytes, mix64, shingles, worker_state
+from factloom.plans.stage import bucketed, discard, materialize
 
-SKETCH = 64
+#: Values of a sketch, those of them that are listed, and members of a list that are all compared with each other.
+SKETCH, LISTED, SHORT = 64, 16, 16
+#: Chance that a similar pair shares too few listed values; how far an estimate may lie under the bar.
+LOSS, MARGIN = 1e-7, 0.3
 #: Links have 100 * intersection >= PERCENT * union.
 PERCENT = 85
 
@@ -47,8 +59,10 @@ def _sets(text: np.ndarray, at: np.ndarray, size: int) -> Iterator[np.ndarray]:
         yield np.unique(h[ends[i] : ends[i + 1]])
 
 
-def _offsets(sizes: list[int]) -> pa.Array:
-    return pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+def _lists(parts: list[np.ndarray]) -> pa.ListArray:
+    ends = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
+    flat = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))
 
 
 def sketches(docs: DataFrame, k: int = SKETCH, size: int = 5) -> DataFrame:
@@ -56,6 +70,7 @@ def sketches(docs: DataFrame, k: int = SKETCH, size: int = 5) -> DataFrame:
     schema = "doc_id long, n_shingles long, d1 long, d2 long, sketch array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state(None, None)
         for batch in batches:
             data, at = column_bytes(batch.column(1))
             for text, offsets, row in blocks(data, at):
@@ -64,51 +79,73 @@ def sketches(docs: DataFrame, k: int = SKETCH, size: int = 5) -> DataFrame:
                     n.append(len(s))
                     d1.append(mix64(s).sum(dtype=np.uint64))
                     d2.append(mix64(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64))
-                    kept.append(s[:k])
-                flat = np.concatenate(kept) if kept else np.zeros(0, np.uint64)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(row, len(n)), pa.array(n, pa.int64()), *[pa.array(np.array(d, np.uint64).view(np.int64)) for d in (d1, d2)], pa.ListArray.from_arrays(_offsets([len(x) for x in kept]), pa.array(flat.view(np.int64)))],
-                    names=["doc_id", "n_shingles", "d1", "d2", "sketch"],
-                )
+                    kept.append(s[:k].copy())
+                digests = [pa.array(np.array(d, np.uint64).view(np.int64)) for d in (d1, d2)]
+                columns = [batch.column(0).slice(row, len(n)), pa.array(n, pa.int64()), *digests, _lists(kept)]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "d1", "d2", "sketch"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
 
-def whole_sets(docs: DataFrame, size: int = 5) -> DataFrame:
-    """key and whole: the sorted distinct hashes of all shingles of each text."""
+def whole_sets(docs: DataFrame, k: int = SKETCH, size: int = 5) -> DataFrame:
+    """key, n, sketch and whole: the sorted distinct hashes of all shingles of each text (key, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, at = column_bytes(batch.column(1))
             for text, offsets, row in blocks(data, at):
                 sets = list(_sets(text, offsets, size))
-                flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(sets)), pa.ListArray.from_arrays(_offsets([len(s) for s in sets]), pa.array(flat.view(np.int64)))], names=["key", "whole"])
+                n = pa.array([len(s) for s in sets], pa.int32())
+                columns = [batch.column(0).slice(row, len(sets)), n, _lists([s[:k] for s in sets]), _lists(sets)]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "n", "sketch", "whole"])
+
+    return docs.mapInArrow(run, "key long, n int, sketch array<long>, whole array<long>")
+
 
-    return docs.mapInArrow(run, "key long, whole array<long>")
+def least_of(k: int, share: float, loss: float = LOSS) -> int:
+    """The largest r such that fewer than r of k values are shared with a chance of at most ``loss``; 1 at least."""
+    below, r = 0.0, 0
+    while r < k and below + (term := math.comb(k, r) * share**r * (1 - share) ** (k - r)) <= loss:
+        below, r = below + term, r + 1
+    return max(1, r)
 
 
-def least_shared(size: Column, k: int = SKETCH, percent: int = PERCENT) -> Column:
-    """Retained values that a sketch of this size shares with any similar one, at least."""
+def least_shared(n: Column, listed: int = LISTED, percent: int = PERCENT) -> Column:
+    """Listed values that a set of n shingles shares with any similar one, at least."""
     t = percent / 100
-    loss = (1 - t) / t  # of a set, at most, that lies outside a similar one
-    full = int(k * max(0.0, t - 0.3))
-    return F.when(size >= k, F.lit(full)).otherwise(F.greatest(F.lit(1), F.ceil(size * F.lit(1 - loss - 0.05)).cast("int")))
+    # A smaller set is listed whole; of a similar one, at most n / t - listed values are not.
+    small = F.floor(n * t - F.greatest(F.lit(0.0), n / F.lit(t) - listed)).cast("int")
+    return F.when(n >= listed, F.lit(least_of(listed, t))).otherwise(F.greatest(F.lit(1), small))
+
+
+def apart(column: str) -> Column:
+    """The column's values, in a form whose partitioning Spark does not know, so that a join shuffles both of its sides;
+    only then does it split a key with many rows."""
+    return F.col(column).bitwiseXOR(F.lit(0).cast("long")).alias(column)
 
 
 def classes(sketched: DataFrame) -> DataFrame:
-    """key (smallest doc_id), n and sketch, one row for each set; rows without shingles or doc_id are left out."""
+    """n_shingles, d1, d2, key (smallest doc_id) and sketch, a row for each set; rows without shingles or doc_id are left out."""
     real = sketched.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    return real.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("key"), F.first("sketch").alias("sketch")).select("key", F.col("n_shingles").alias("n"), "sketch")
+    return real.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("key"), F.first("sketch").alias("sketch"))
+
 
+def postings(cls: DataFrame, listed: int = LISTED, percent: int = PERCENT) -> DataFrame:
+    """key, n and listed: the values under which a class must be found."""
+    each = cls.select("key", F.col("n_shingles").cast("int").alias("n"), F.explode(F.slice("sketch", 1, listed)).alias("v"))
+    counts = each.groupBy("v").agg(F.count("*").cast("int").alias("df")).filter("df > 1").select(apart("v"), "df")
+    values = F.array_sort(F.collect_list(F.struct("df", "v"))).alias("vs")  # at most ``listed``
+    shared = each.join(counts, "v").groupBy("key", "n").agg(values)
+    first = shared.withColumn("m", F.size("vs") - least_shared(F.col("n"), listed, percent) + 1).filter("m > 0")
+    return first.select("key", "n", F.transform(F.slice("vs", F.lit(1), F.greatest(F.col("m"), F.lit(0))), lambda e: e["v"]).alias("listed"))
 
-def postings(cls: DataFrame, k: int = SKETCH, percent: int = PERCENT) -> DataFrame:
-    """v, key, n, shared (how common the class's values are) and listed: the values under which a class must be found."""
-    each = cls.select("key", "n", F.explode("sketch").alias("v"))
-    counts = each.groupBy("v").agg(F.count("*").alias("df")).filter("df > 1")
-    shared = each.join(counts, "v").groupBy("key", "n").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("vs"), F.sum(F.log2("df")).alias("shared"))  # at most k values
-    listed = shared.withColumn("m", F.size("vs") - least_shared(F.least("n", F.lit(k)), k, percent) + 1).filter("m > 0")
-    return listed.select("key", "n", "shared", F.transform(F.slice("vs", F.lit(1), F.greatest(F.col("m"), F.lit(0))), lambda e: e["v"]).alias("listed")).withColumn("v", F.explode("listed"))
+
+def with_commonness(lists: DataFrame, cls: DataFrame) -> DataFrame:
+    """lists with shared: how common the values of the class's whole sketch are among the listed classes."""
+    each = cls.join(lists.select("key"), "key", "left_semi").select("key", F.explode("sketch").alias("v"))
+    counts = each.groupBy("v").agg(F.count("*").alias("df")).filter("df > 1").select(apart("v"), "df")
+    shared = each.join(counts, "v").groupBy("key").agg(F.sum(F.log2("df")).alias("shared"))
+    return lists.join(shared, "key", "left").select("key", "n", "listed", F.coalesce("shared", F.lit(0.0)).alias("shared"))
 
 
 def _union_estimate(a: Column, b: Column, k: int) -> Column:
@@ -121,109 +158,141 @@ def _sizes_fit(a: Column, b: Column, percent: int) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
-def verified(pairs: DataFrame, cls: DataFrame, docs: DataFrame, k: int, percent: int, size: int, name: str) -> DataFrame:
-    """The pairs (a, b) that are similar: union sketches first, then whole sets."""
-    sk = lambda x: cls.select(F.col("key").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
-    likely = pairs.join(sk("a"), "a").join(sk("b"), "b").filter(_sizes_fit(F.col("na"), F.col("nb"), percent))
-    likely = materialize(likely.filter(_union_estimate(F.col("sa"), F.col("sb"), k) >= percent / 100 - 0.3).select("a", "b").distinct(), f"likely-{name}")
-    asked = likely.select(F.col("a").alias("key")).union(likely.select(F.col("b").alias("key"))).distinct()
-    needed = docs.select(F.col("doc_id").cast("long").alias("key"), "text").join(asked, "key", "left_semi")
-    sets = materialize(whole_sets(needed, size), f"sets-{name}")
-    links = materialize(likely.join(sets_of(sets, "a"), "a").join(sets_of(sets, "b"), "b").filter(similar(percent)).select("a", "b").distinct(), f"links-{name}")
-    discard(likely, sets)
+def _similar(percent: int) -> Column:
+    both = F.size(F.array_intersect("wa", "wb"))
+    return both * 100 >= (F.size("wa") + F.size("wb") - both) * percent
+
+
+def verified(pairs: DataFrame, sets: DataFrame, k: int, percent: int, name: str) -> DataFrame:
+    """The pairs (a, b) that are similar: union sketches first, then whole sets. Many pairs may have one b, not one a."""
+
+    def met(some: DataFrame, column: str, *more: Column) -> DataFrame:
+        # First the sets of a, where they lie; then both sides move to b, each set of b once.
+        left = some.join(sets.select(F.col("key").alias("a"), F.col(column).alias("wa"), *[m.alias("na") for m in more]), "a")
+        asked = some.select(F.col("b").alias("key")).distinct().join(sets, "key")
+        return left.join(asked.select(apart("key").alias("b"), F.col(column).alias("wb"), *[m.alias("nb") for m in more]), "b")
+
+    likely = met(pairs, "sketch", F.col("n")).filter(_sizes_fit(F.col("na"), F.col("nb"), percent))
+    likely = likely.filter(_union_estimate(F.col("wa"), F.col("wb"), k) >= percent / 100 - MARGIN)
+    likely = materialize(likely.select("a", "b"), f"likely-{name}")
+    links = materialize(met(likely, "whole").filter(_similar(percent)).select("a", "b"), f"links-{name}")
+    discard(likely)
     return links
 
 
-def components(links: DataFrame, rounds: int = 40) -> DataFrame:
-    """key and comp (smallest key reachable) of all keys in links (a, b); large-star and small-star in turn."""
-    edges = materialize(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct(), "edges")
-    mark = None
-    for _ in range(rounds):
+def components(links: DataFrame) -> DataFrame:
+    """key and comp (smallest key reachable) of all keys in links (a, b); large-star and small-star in turn, to the end."""
+    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct()
+    edges, mark = materialize(edges, "edges"), None
+    while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select(apart("u"), F.least("u", "m").alias("m"))
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
-        last, edges = edges, materialize(small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).filter("u != v").distinct(), "edges")
-        discard(last)
+        least = large.groupBy("u").agg(F.min("v").alias("m")).select(apart("u"), "m")
+        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        new = materialize(small.union(least.select("u", F.col("m").alias("v"))).filter("u != v").distinct(), "edges")
+        discard(edges)
+        edges = new
         seen = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if (seen["n"], seen["h"]) == mark:
             break
         mark = (seen["n"], seen["h"])
-    else:
-        raise RuntimeError(f"components are not closed after {rounds} rounds")
-    return edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("key"), F.col("m").alias("comp")).union(edges.select(F.col("v").alias("key"), F.col("v").alias("comp")).distinct())
+    own = edges.select(F.col("v").alias("key"), F.col("v").alias("comp")).distinct()
+    return edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("key"), F.col("m").alias("comp")).union(own)
 
 
 def near_duplicates(docs: DataFrame, k: int = SKETCH, percent: int = PERCENT, size: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of docs (doc_id, text)."""
     hashed = materialize(sketches(docs, k, size), "sketches")
     cls = materialize(classes(hashed), "classes")
-    sketched = materialize(hashed.drop("sketch"), "digests")
+    named = ["n_shingles", "d1", "d2"]
+    rows = hashed.select("doc_id", *named)
+    placed = rows.filter("n_shingles > 0 AND doc_id IS NOT NULL").join(cls.select(*named, "key"), named)
+    alone = rows.filter("n_shingles = 0 OR doc_id IS NULL").withColumn("key", F.lit(None).cast("long"))
+    placed = materialize(placed.select("doc_id", "n_shingles", "key").union(alone.select("doc_id", "n_shingles", "key")), "placed")
     discard(hashed)
-    lists = materialize(postings(cls, k, percent), "postings")
-    hubs = lists.groupBy("v").agg(F.max(F.struct("shared", (-F.col("key")).alias("minus"))).alias("hub"), F.count("*").alias("c")).filter("c > 1").select("v", (-F.col("hub.minus")).alias("h"))
-    star = lists.join(hubs, "v").filter("key != h").select(F.least("key", "h").alias("a"), F.greatest("key", "h").alias("b")).distinct()
-    first = verified(star, cls, docs, k, percent, size, "hubs")
-    discard(cls)
+    found = materialize(postings(cls, LISTED, percent), "postings")
+    lists = materialize(with_commonness(found, cls), "lists")
+    discard(cls, found)
+    texts = docs.select(F.col("doc_id").cast("long").alias("key"), "text").join(lists.select("key"), "key", "left_semi")
+    # Rows that share a doc_id may hold other sets than the class that it names: only that set counts here.
+    sets = whole_sets(texts, k, size).join(lists.select("key", F.col("listed").alias("l"), F.col("n").alias("m")), "key")
+    sets = sets.filter((F.col("n") == F.col("m")) & (F.size(F.array_except("l", "sketch")) == 0)).select("key", "n", "sketch", "whole")
+    sets = bucketed(sets, "key", "sets")
+    spread = lists.select("key", "n", "shared", F.explode("listed").alias("v"))
+    top = spread.groupBy("v").agg(F.max(F.struct("shared", (-F.col("key")).alias("minus"))).alias("hub"), F.count("*").alias("c"))
+    hubs = top.filter("c > 1").select(apart("v"), (-F.col("hub.minus")).alias("b"))
+    star = spread.join(hubs, "v").filter("key != b").select(F.col("key").alias("a"), "b").distinct()
+    first = verified(star, sets, k, percent, "hubs")
     merged = materialize(components(first), "merged")
-    open_ = materialize(open_members(lists, merged), "open")
-    discard(lists)
-    more = exact_links(open_, docs, percent, size)
-    # Rows that share a doc_id but not a text join their classes.
-    sets = sketched.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    key = sets.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("key"))
-    members = materialize(sets.join(key, ["n_shingles", "d1", "d2"]).select("doc_id", "key").distinct(), "members")
-    own = members.filter("doc_id != key").groupBy("doc_id").agg(F.min("key").alias("a"), F.max("key").alias("b"), F.count("*").alias("c"))
-    twice = own.filter("c > 1").select("a", "b").union(members.filter("doc_id = key").join(own, "doc_id").select("a", F.col("doc_id").alias("b"))).filter("a != b")
-    final = materialize(components(first.union(more).union(twice).union(merged.select(F.col("comp").alias("a"), F.col("key").alias("b")).filter("a != b"))), "components")
-    place = members.join(final, "key", "left").groupBy("doc_id").agg(F.min(F.coalesce("comp", "key")).alias("component"))
-    out = sketched.select("doc_id", "n_shingles").join(place, "doc_id", "left").withColumn("component_id", F.coalesce("component", "doc_id"))
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
-
-
-def open_members(lists: DataFrame, merged: DataFrame) -> DataFrame:
-    """key and comp of the members of lists that still hold several components."""
-    at = lists.join(merged, "key", "left").select("v", "key", F.coalesce("comp", "key").alias("comp"))
-    parts = at.groupBy("v").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low != high").select("v")
-    return at.join(parts, "v", "left_semi").select("key", "comp").distinct()
-
-
-def exact_links(members: DataFrame, docs: DataFrame, percent: int, size: int) -> DataFrame:
+    open_ = materialize(open_members(spread, merged), "open")
+    short = verified(short_pairs(open_, percent), sets, k, percent, "short")
+    long = exact_links(open_.filter(F.col("c") > SHORT).select("key", "comp").distinct(), sets, percent)
+    real = placed.filter("key IS NOT NULL")
+    several = real.groupBy("doc_id").agg(F.min("key").alias("a"), F.max("key").alias("z")).filter("a != z").select(apart("doc_id"), "a")
+    again = real.join(several, "doc_id").select("a", F.col("key").alias("b")).distinct()
+    links = first.union(short).union(long).union(again).union(merged.select(F.col("comp").alias("a"), F.col("key").alias("b")))
+    final = materialize(components(links.filter("a != b")), "components")
+    discard(sets, lists, open_, merged, first, short, long)
+    known = real.join(final, "key", "left").select("doc_id", "n_shingles", F.coalesce("comp", "key").alias("component_id"))
+    blank = placed.filter("key IS NULL AND doc_id IS NOT NULL").select("doc_id", "n_shingles")
+    elsewhere = known.select("doc_id", F.col("component_id").alias("c")).distinct()
+    blank = blank.join(elsewhere, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("c", "doc_id").alias("component_id"))
+    lost = placed.filter("doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
+    return known.union(blank).union(lost).withColumn("kept", kept)
+
+
+def open_members(spread: DataFrame, merged: DataFrame) -> DataFrame:
+    """v, key, n, comp and c (members of the list) of the lists that still hold several components."""
+    at = spread.join(merged, "key", "left").select("v", "key", "n", F.coalesce("comp", "key").alias("comp"))
+    parts = at.groupBy("v").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("c"))
+    return at.join(parts.filter("low != high").select(apart("v"), "c"), "v")
+
+
+def short_pairs(open_: DataFrame, percent: int) -> DataFrame:
+    """All pairs (a, b) across components of the lists of at most SHORT members: under SHORT for each member of a list."""
+    lists = open_.filter(F.col("c") <= SHORT)
+    a = lists.select("v", F.col("key").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
+    b = lists.select("v", F.col("key").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
+    return a.join(b, "v").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _sizes_fit(F.col("na"), F.col("nb"), percent)).select("a", "b").distinct()
+
+
+def exact_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The similar pairs (a, b) of members (key, comp) across components, by a prefix join over whole sets.
 
     Shingles are ordered by how many members have them. Similar sets share one of the first n - need + 1 of that order,
     and the first that they share leaves room for the overlap that their sizes ask for; a pair is made at that one only.
     Shingles that no other member has stand first and make no pair, so a set with too many of them drops out.
     """
-    needed = docs.select(F.col("doc_id").cast("long").alias("key"), "text").join(members.select("key").distinct(), "key", "left_semi")
-    sets = materialize(whole_sets(needed, size).withColumn("n", F.size("whole")), "open-sets")
-    each = sets.select("key", "n", F.explode("whole").alias("v"))
-    counts = each.groupBy("v").agg(F.count("*").alias("df")).filter("df > 1")
+    each = sets.join(members.select("key"), "key").select("key", "n", F.explode("whole").alias("v"))
+    counts = each.groupBy("v").agg(F.count("*").alias("df")).filter("df > 1").select(apart("v"), "df")
     ordered = each.join(counts, "v").groupBy("key", "n").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("vs"))
     need = F.ceil(F.col("n") * percent / 100).cast("int")
-    first = ordered.withColumn("m", F.size("vs") - need + 1).filter("m > 0").join(members, "key").select("key", "n", "comp", F.transform(F.slice("vs", F.lit(1), F.greatest(F.col("m"), F.lit(0))), lambda e: e["v"]).alias("l"), (F.col("n") - F.size("vs")).alias("alone"))
-    places = materialize(first.select("key", "n", "comp", "l", "alone", F.posexplode("l").alias("p", "v")).withColumn("p", F.col("p") + F.col("alone")).drop("alone"), "places")
-    side = lambda x: places.select(F.col("v").alias(f"v{x}"), F.col("key").alias(x), F.col("n").alias(f"n{x}"), F.col("comp").alias(f"c{x}"), F.col("l").alias(f"l{x}"), F.col("p").alias(f"p{x}"))
+    first = ordered.withColumn("m", F.size("vs") - need + 1).filter("m > 0").join(members, "key")
+    values = F.transform(F.slice("vs", F.lit(1), F.greatest(F.col("m"), F.lit(0))), lambda e: e["v"]).alias("l")
+    first = first.select("key", "n", "comp", values, (F.col("n") - F.size("vs")).alias("alone"))
+    places = first.select("key", "n", "comp", "l", "alone", F.posexplode("l").alias("p", "v"))
+    places = materialize(places.withColumn("p", F.col("p") + F.col("alone")).drop("alone"), "places")
+
+    def side(x: str) -> DataFrame:
+        names = {"v": "v", "key": "", "n": "n", "comp": "c", "l": "l", "p": "p"}
+        return places.select(*[F.col(c).alias(p + x) for c, p in names.items()])
+
     room = (F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) * (100 + percent)) >= (F.col("na") + F.col("nb")) * percent
     once = F.get(F.array_intersect("la", "lb"), F.lit(0)) == F.col("va")
-    pairs = side("a").join(side("b"), (F.col("va") == F.col("vb")) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _sizes_fit(F.col("na"), F.col("nb"), percent) & room & once)
-    pairs = materialize(pairs.select("a", "b").distinct(), "open-pairs")
+    across = (F.col("va") == F.col("vb")) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))
+    pairs = side("a").join(side("b"), across & _sizes_fit(F.col("na"), F.col("nb"), percent) & room & once)
+    pairs = materialize(pairs.select("a", "b"), "open-pairs")
     discard(places)
-    links = materialize(pairs.join(sets_of(sets, "a"), "a").join(sets_of(sets, "b"), "b").filter(similar(percent)).select("a", "b").distinct(), "open-links")
-    discard(sets, pairs)
+    wholes = sets.select("key", "whole")
+    left = pairs.join(wholes.select(F.col("key").alias("a"), F.col("whole").alias("wa")), "a")
+    links = left.join(wholes.select(apart("key").alias("b"), F.col("whole").alias("wb")), "b").filter(_similar(percent)).select("a", "b")
+    links = materialize(links, "open-links")
+    discard(pairs)
     return links
 
 
-def sets_of(sets: DataFrame, x: str) -> DataFrame:
-    return sets.select(F.col("key").alias(x), F.col("whole").alias(f"w{x}"))
-
-
-def similar(percent: int) -> Column:
-    both = F.size(F.array_intersect("wa", "wb"))
-    return both * 100 >= (F.size("wa") + F.size("wb") - both) * percent
-
-
 def op10(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import gc
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 
-#: Bytes of text handled at once. A longer text is cut at a word's end into several spans, never shortened.
+#: Bytes of text handled at once. A longer text comes alone and whole; what is computed of it takes some ten times its size.
 BLOCK = 1 << 20
 
 _rng = np.random.default_rng(20240229)
@@ -25,6 +27,47 @@ _base = np.uint64(0x9E3779B97F4A7C15)
 _powers: dict[str, np.ndarray] = {}
 
 
+_state: dict = {}
+
+
+def worker_state(key, make: Callable):
+    """What one operator keeps in this worker process between tasks, made once. Workers are shared: the state of the
+    operator that had it before goes first, so that their memory does not add up. key None only frees it."""
+    if _state.get("key") != key:
+        _state.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            import ctypes
+
+            ctypes.CDLL(None).malloc_trim(0)
+        except (OSError, AttributeError):  # another C library: it frees memory in its own way
+            pass
+        _state["key"] = key
+    if key is not None and "made" not in _state:
+        _state["made"] = make()
+    return _state.get("made")
+
+
+@contextmanager
+def no_cycles() -> Iterator[None]:
+    """Within it, the garbage collector rests: caches hold no cycles, and walking them again and again is dear."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
+def fresh(base: str, names: list[str]) -> str:
+    """A column name that begins with base and is no beginning of any of names, whatever their case."""
+    while any(n.lower().startswith(base.lower()) for n in names):
+        base += "_"
+    return base
+
+
 def mix64(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values whose output bits depend on all input bits."""
     h = h ^ (h >> np.uint64(30))
@@ -85,7 +128,7 @@ class Words:
         table = BYTE_CODES[fold]
         while done < n:
             low = self.start[done]
-            last = max(int(np.searchsorted(self.end, low + 2 * BLOCK, side="right")), done + 1)
+            last = max(int(np.searchsorted(self.end, low + BLOCK // 4, side="right")), done + 1)
             high = self.end[last - 1]
             power, inverse = _power_tables(high - low)
             total = np.zeros(high - low + 1, np.uint64)
@@ -115,7 +158,7 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
             x[0] = 1
             _powers[name] = np.cumprod(x, dtype=np.uint64)
     p, i = _powers["p"][:n], _powers["i"][:n]
-    if n > 4 * BLOCK:  # a huge word: do not keep its tables
+    if n > BLOCK:  # a huge word: do not keep its tables
         _powers.clear()
     return p, i
 
