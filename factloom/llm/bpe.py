@@ -1,22 +1,24 @@
 """BPE encoding and decoding by content-defined chunk reuse.
 
 A text is cut where a rolling hash of the bytes before a space or line feed says so, so that equal passages give equal
-chunks wherever they stand. A worker encodes each chunk that its cache does not hold and reuses it until CHUNK_CACHE later ones
+chunks wherever they stand. A worker encodes each chunk that its cache does not hold and reuses it until CHUNK_BYTES of later ones
 have pushed it out; then it is encoded again. Cuts are far apart (CUT_EVERY), so a shared passage is reused only if two of
-them fall into it, which is rare below some hundred words; the words of a chunk come from a word cache in the same way, and words new to both are merged in one
-vectorised batch per block. At every join the words on both sides are encoded again by the library, over a span that grows
-until it agrees with the pieces, else the whole text is encoded by the library. The result equals the library's.
+them fall into it, which is rare below some hundred words; the words of a chunk come from a word cache in the same way, and
+words new to both are merged in one vectorised batch per block. At every join the words on both sides are encoded again by
+the library, over a span that grows until it agrees with the pieces, else the whole text is encoded by the library. The
+result equals the library's. Encoder.seen counts the bytes of all chunks and of those reused.
 
 Nothing is shuffled. Sharing one encoding of a chunk among all workers would need the texts to be shuffled by chunk and
 the ids back by document, more than this operator's disk budget, so workers share none.
 
 Defined cases: a null or empty text has no ids and decodes to the empty text. Strings of special tokens inside a text are
-read as the library reads them by default. Repeated rows give equal rows. An empty table gives no rows.
+read as the library reads them by default. Repeated rows give equal rows. A very long text is encoded whole, by its chunks.
+Other columns pass through encoded() untouched, whatever their names, but for one named as the struct column that the
+caller chooses. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import gc
 import json
 import re
 from collections import OrderedDict
@@ -26,11 +28,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from factloom.llm.textvec import blocks, column_bytes, mix64
+from factloom.llm.textvec import blocks, column_bytes, mix64, no_cycles, worker_state
 
-#: A cut at one in so many spaces; words and chunks that a worker keeps.
-CUT_EVERY, WORD_CACHE, CHUNK_CACHE = 192, 250_000, 3_000
+#: A cut at one in so many spaces; words, and bytes of chunks, that a worker keeps.
+CUT_EVERY, WORD_CACHE, CHUNK_BYTES = 192, 80_000, 16 << 20
 #: Characters whose normalisation and classes this module knows by itself; all other words go to the library.
 _PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]*\Z")
 _PRETOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
@@ -142,6 +145,8 @@ class Encoder:
         self.young: dict[str, tuple[bytes, str]] = {}
         self.old: dict[str, tuple[bytes, str]] = {}
         self.chunks: OrderedDict[bytes, tuple[bytes, str]] = OrderedDict()
+        self.held = 0
+        self.seen = [0, 0]
 
     def _pair(self, ids) -> tuple[bytes, str]:
         return np.asarray(ids, "<u4").tobytes(), " ".join(map(self.names.__getitem__, ids))
@@ -179,9 +184,13 @@ class Encoder:
         raw = data.tobytes()
         cuts = chunk_cuts(data, at)
         texts = [[raw[a:b] for a, b in zip(c, c[1:], strict=False)] for c in cuts]
-        words = {}
-        for chunk in {c for t in texts for c in t}:
-            if chunk in self.chunks:
+        words: dict[bytes, list[str]] = {}
+        for chunk in (c for t in texts for c in t):
+            self.seen[0] += len(chunk)
+            if chunk in words:
+                self.seen[1] += len(chunk)
+            elif chunk in self.chunks:
+                self.seen[1] += len(chunk)
                 self.chunks.move_to_end(chunk)
             else:
                 words[chunk] = split_words(chunk.decode())
@@ -191,8 +200,10 @@ class Encoder:
         for i in self.disagreeing(texts):
             out[i] = self.by_library([raw[at[i] : at[i + 1]].decode()])[0]
         self.chunks.update(found)
-        while len(self.chunks) > CHUNK_CACHE:
-            self.chunks.popitem(last=False)
+        self.held += sum(len(c) + len(m[0]) + len(m[1]) for c, m in found.items())
+        while self.held > CHUNK_BYTES:
+            c, m = self.chunks.popitem(last=False)
+            self.held -= len(c) + len(m[0]) + len(m[1])
         return out
 
     def disagreeing(self, texts: list[list[bytes]]) -> set[int]:
@@ -225,45 +236,40 @@ def chunk_cuts(data: np.ndarray, at: np.ndarray) -> list[list[int]]:
     return [[int(a), *spaces[f:e].tolist(), int(b)] if b > a else [int(a)] for a, b, f, e in zip(at[:-1], at[1:], first, last, strict=True)]
 
 
-def encoded(docs: DataFrame, file: str | None = None, keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` of docs (all but text, if none are named) with ids (unsigned 32-bit integers, little-endian) and decoded."""
-    keep = [c for c in docs.columns if c != "text"] if keep is None else keep
+def encoded(docs: DataFrame, file: str | None = None, keep: list[str] | None = None, name: str = "bpe") -> DataFrame:
+    """The columns ``keep`` of docs (all but text, if none are named) with the struct column ``name``: ids (unsigned 32-bit
+    integers, little-endian) and decoded. A column of docs that has this name is replaced."""
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("text", name)]
     with open(file or vocabulary_file(), encoding="utf-8") as f:
         source = docs.sparkSession.sparkContext.broadcast(f.read())  # a vocabulary file: a few MB, whatever the corpus
     frame = docs.select(*[F.col(f"`{c}`") for c in keep], "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_encoder(source)
-        for batch in batches:
-            data, at = column_bytes(batch.column(len(keep)))
-            for text, offsets, row in blocks(data, at):
-                made = encoder.encode_block(text, offsets)
-                yield pa.RecordBatch.from_arrays([*[batch.column(i).slice(row, len(made)) for i in range(len(keep))], pa.array([m[0] for m in made], pa.binary()), pa.array([m[1] for m in made], pa.string())], names=[*keep, "ids", "decoded"])
+        with no_cycles():
+            for batch in batches:
+                data, at = column_bytes(batch.column(len(keep)))
+                for text, offsets, row in blocks(data, at):
+                    made = encoder.encode_block(text, offsets)
+                    parts = [pa.array([m[0] for m in made], pa.binary()), pa.array([m[1] for m in made], pa.string())]
+                    both = pa.StructArray.from_arrays(parts, names=["ids", "decoded"])
+                    yield pa.RecordBatch.from_arrays([*[batch.column(i).slice(row, len(made)) for i in range(len(keep))], both], names=[*keep, name])
 
-    fields = [*frame.schema.fields[:-1]]
-    from pyspark.sql import types as T
-
-    return frame.mapInArrow(run, T.StructType([*fields, T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())]))
-
-
-_encoders: dict[str, Encoder] = {}
+    made = T.StructType([T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())])
+    return frame.mapInArrow(run, T.StructType([*frame.schema.fields[:-1], T.StructField(name, made)]))
 
 
 def worker_encoder(source) -> Encoder:
     """The encoder of this worker process, made once."""
     text = source.value
-    key = str(hash(text))
-    gc.disable()  # the caches hold no cycles, and walking them again and again is dear
-    if key not in _encoders:
-        _encoders.clear()
-        _encoders[key] = Encoder(text)
-    return _encoders[key]
+    return worker_state(("bpe", hash(text)), lambda: Encoder(text))
 
 
-def digests(rows: DataFrame) -> DataFrame:
+def digests(rows: DataFrame, name: str = "bpe") -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of encoded()'s rows."""
-    n = (F.octet_length("ids") / 4).cast("long")
-    return rows.select("doc_id", n.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    ids, decoded = F.col(f"`{name}`.ids"), F.col(f"`{name}`.decoded").cast("binary")
+    n = (F.octet_length(ids) / 4).cast("long")
+    return rows.select("doc_id", n.alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2(decoded, 256).alias("decoded_sha256"))
 
 
 def op5(spark, sf_dir: str) -> DataFrame:

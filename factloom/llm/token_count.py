@@ -1,20 +1,23 @@
 """Token counts by a map-side two-tier lookup, without any shuffle of pre-tokens.
 
 No piece of the vocabulary holds a space mark after another character, nor a line feed, so a text's tokens are those of
-its segments: spaces with the word after them, and a line feed with the word after it. The lengths of frequent segments
+its segments: spaces with the word after them, and a line feed with the word after it. This is checked when a vocabulary
+is loaded; with one for which it does not hold, every text goes to the library whole. The lengths of frequent segments
 come from a compact table that is broadcast; misses are encoded by the library and kept in a bounded cache per worker.
 
 The frequent segments come from all texts: each task counts its own, keeping a bounded summary, and reports at most
 TASK_TOP of them; only these summaries are added up.
 
 Defined cases: a null or empty text has no bytes and no tokens. Texts that hold the vocabulary's space mark itself go to
-the library whole. Repeated rows give equal rows. An empty table gives no rows.
+the library whole; any other character, NUL too, is part of a word. Repeated rows give equal rows. A very long text is
+counted whole, by its segments. Other columns pass through counted() untouched, whatever their names, but for one named as
+the struct column that the caller chooses. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import gc
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -23,7 +26,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.textvec import blocks, column_bytes
+from pyspark.sql import types as T
+
+from factloom.llm.textvec import blocks, column_bytes, no_cycles, worker_state
 
 #: Segments in the broadcast table, segments that a task reports, segments that a task counts at once, and a worker's cache.
 TABLE, TASK_TOP, TASK_COUNTS, CACHE = 50_000, 2_000, 200_000, 400_000
@@ -58,6 +63,9 @@ class Lengths:
         self.young: dict[str, int] = {}
         self.old: dict[str, int] = {}
         self.lone = len(self.encode(["\n"])[0]) - 1
+        pieces = [self.library.id_to_piece(i) for i in range(self.library.get_piece_size())]
+        #: Whether a text's tokens are those of its segments.
+        self.by_segments = not any("\n" in p or SPACE_MARK in p.lstrip(SPACE_MARK) for p in pieces)
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         return self.library.encode(texts, num_threads=1)
@@ -69,7 +77,7 @@ class Lengths:
         return [self.lone if s == " " else len(ids) - self.lone if s[0] == "\n" else len(ids) for s, ids in zip(some, found, strict=True)]
 
     def count_block(self, texts: list[str]) -> list[int]:
-        split = [segments(t) if t and SPACE_MARK not in t else [] for t in texts]
+        split = [segments(t) if t and SPACE_MARK not in t and self.by_segments else [] for t in texts]
         if len(self.young) > CACHE:
             self.old, self.young = self.young, {}
         table, young, old = self.table, self.young, self.old
@@ -85,7 +93,7 @@ class Lengths:
         get, more = table.get, young
         out = []
         for t, ss in zip(texts, split, strict=True):
-            out.append(len(self.encode([t])[0]) if t and not ss else sum([get(s) or more[s] for s in ss]))
+            out.append(len(self.encode([t])[0]) if t and not ss else sum([n if (n := get(s)) is not None else more[s] for s in ss]))
         return out
 
 
@@ -114,44 +122,34 @@ def frequent_segments(docs: DataFrame, most: int = TABLE) -> list[str]:
     return [r["segment"] for r in summed.orderBy(F.desc("n"), "segment").limit(most).collect()]
 
 
-_workers: dict[int, Lengths] = {}
-
-
-def counted(docs: DataFrame, file: str | None = None, keep: list[str] | None = None, table: int = TABLE) -> DataFrame:
-    """The columns ``keep`` of docs (all but text, if none are named) with n_bytes and n_tokens of the whole text."""
+def counted(docs: DataFrame, file: str | None = None, keep: list[str] | None = None, table: int = TABLE, name: str = "tokens") -> DataFrame:
+    """The columns ``keep`` of docs (all but text, if none are named) with the struct column ``name``: n_bytes and n_tokens
+    of the whole text. A column of docs that has this name is replaced."""
     spark = docs.sparkSession
-    keep = [c for c in docs.columns if c != "text"] if keep is None else keep
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("text", name)]
     with open(file or vocabulary_file(), "rb") as f:
         model = f.read()
     listed = frequent_segments(docs, table)
-    lengths = np.array(Lengths(model).of(listed), np.uint16) if listed else np.zeros(0, np.uint16)
-    shared = spark.sparkContext.broadcast((model, "\0".join(listed), lengths))  # at most ``table`` segments under 64 characters
+    lengths = np.array(Lengths(model).of(listed) if listed else [], np.uint16)
+    key = ("token counts", uuid.uuid4().hex)
+    shared = spark.sparkContext.broadcast((model, listed, lengths))  # at most ``table`` segments under 64 characters
     frame = docs.select(*[F.col(f"`{c}`") for c in keep], "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        worker = None
-        for batch in batches:
-            worker = worker or _worker(shared)
-            data, at = column_bytes(batch.column(len(keep)))
-            for text, offsets, row in blocks(data, at):
-                n = worker.count_block(texts_of(text, offsets))
-                yield pa.RecordBatch.from_arrays([*[batch.column(i).slice(row, len(n)) for i in range(len(keep))], pa.array(np.diff(offsets)), pa.array(n, pa.int64())], names=[*keep, "n_bytes", "n_tokens"])
-
-    from pyspark.sql import types as T
-
-    return frame.mapInArrow(run, T.StructType([*frame.schema.fields[:-1], T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())]))
-
+        model, listed, lengths = shared.value
+        worker = worker_state(key, lambda: Lengths(model, dict(zip(listed, lengths.tolist(), strict=True))))
+        with no_cycles():
+            for batch in batches:
+                data, at = column_bytes(batch.column(len(keep)))
+                for text, offsets, row in blocks(data, at):
+                    n = worker.count_block(texts_of(text, offsets))
+                    both = pa.StructArray.from_arrays([pa.array(np.diff(offsets), pa.int64()), pa.array(n, pa.int64())], names=["n_bytes", "n_tokens"])
+                    yield pa.RecordBatch.from_arrays([*[batch.column(i).slice(row, len(n)) for i in range(len(keep))], both], names=[*keep, name])
 
-def _worker(shared) -> Lengths:
-    model, listed, lengths = shared.value
-    key = hash((listed, len(model)))
-    gc.disable()  # the caches hold no cycles, and walking them again and again is dear
-    if key not in _workers:
-        _workers.clear()
-        _workers[key] = Lengths(model, dict(zip(listed.split("\0"), lengths.tolist(), strict=True)) if len(lengths) else {})
-    return _workers[key]
+    made = T.StructType([T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())])
+    return frame.mapInArrow(run, T.StructType([*frame.schema.fields[:-1], T.StructField(name, made)]))
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
     rows = counted(spark.read.parquet(f"{sf_dir}/documents.parquet"), keep=["doc_id"])
-    return rows.withColumn("over_limit", F.col("n_tokens") > MAX_TOKENS)
+    return rows.select("doc_id", "tokens.*").withColumn("over_limit", F.col("n_tokens") > MAX_TOKENS)
