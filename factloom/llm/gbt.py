@@ -18,12 +18,14 @@ from pyspark.sql import functions as F
 from factloom.plans.stage import materialize
 
 
-def bounded_sample(df: DataFrame, key: Column, rows: int, name: str) -> DataFrame:
-    """About ``rows`` rows of df at most: those whose hash falls below a share that the row count sets. Written once."""
-    n = df.count()
+def bounded_sample(df: DataFrame, key: str, values: dict[str, Column], rows: int, name: str) -> DataFrame:
+    """key and the aggregates ``values`` of about ``rows`` distinct keys of df at most, chosen by their hash, so that a key
+    counts once however often it stands. Both passes run over df as it is split, and only the sample moves. Written once."""
+    n = df.agg(F.approx_count_distinct(key, 0.02).alias("n")).first()["n"]
     if n > rows:
-        df = df.filter(F.pmod(key, F.lit(1_000_000)) < int(1_000_000 * rows / n))
-    return materialize(df.coalesce(max(1, min(8, n // 4000))), name)
+        df = df.filter(F.pmod(F.xxhash64(key), F.lit(2**31)) < int(2**31 * rows / n))
+    sample = df.groupBy(key).agg(*[v.alias(k) for k, v in values.items()])
+    return materialize(sample, name)
 
 
 def probability(margin: Column) -> Column:

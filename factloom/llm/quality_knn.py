@@ -6,8 +6,11 @@ are broadcast; every document's vector is multiplied with all of them, block by
 with weights that rise with their cosine.
 
 Defined cases: a null or empty text has a zero vector, whose cosines are all 0, so all labelled vectors vote alike for it:
-it gets their mean label. Rows without doc_id are held out. Repeated labels of a document count once, by the larger.
-Without labels every score is 0.5. An empty table gives no rows. Other columns are passed on untouched by scored().
+it gets their mean label. All labelled vectors whose cosine equals that of the last neighbour vote as well, so ties need no
+order. Rows without doc_id are held out. Repeated labels of a document count once, by the larger; of a labelled doc_id that
+repeats, the smallest text counts. Without labels every score is 0.5. An empty table gives no rows. A very long text is
+counted whole, in about 40 bytes of memory for each of its own. Other columns are passed on untouched by scored(), whatever
+their names, but for one named as the score that the caller chooses, which is replaced.
 """
 
 from __future__ import annotations
@@ -23,6 +26,8 @@ from factloom.llm.toxicity import by_block, labelled_sample
 #: Labelled vectors, hashed dimensions of each kind, latent dimensions, and neighbours that vote.
 FIT_ROWS, DIMS, LATENT, NEIGHBOURS = 4_000, 384, 48, 25
 KINDS = 3
+#: A neighbour's vote weighs exp(SHARPNESS * cosine).
+SHARPNESS = 12.0
 #: Texts handled at once, so that the dense arrays stay small whatever their lengths.
 ROWS = 512
 
@@ -81,9 +86,9 @@ class Space:
             some = at[a : a + ROWS + 1]
             v = self.project(counts(text[some[0] : some[-1]], some - some[0]))
             cosine = v @ self.vectors.T
-            near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
-            weight = np.exp(12.0 * np.take_along_axis(cosine, near, axis=1).astype(float))
-            score = (weight * self.labels[near]).sum(axis=1) / weight.sum(axis=1)
+            bar = np.partition(cosine, len(self.labels) - k, axis=1)[:, len(self.labels) - k]
+            weight = np.where(cosine >= bar[:, None], np.exp(SHARPNESS * cosine.astype(float)), 0.0)
+            score = weight @ self.labels / weight.sum(axis=1)
             out[a : a + len(score), 0] = np.where((v == 0).all(axis=1), self.labels.mean(), score)
         return np.clip(out, 0.0, 1.0)
 
@@ -127,6 +132,7 @@ def scored(docs: DataFrame, space: Space, name: str = "_good", keep: list[str] |
             made.append(Space(*shared.value))
         return made[0].vote(text, at)
 
+    keep = [c for c in (docs.columns if keep is None else keep) if c != name]
     return by_block(docs, [T.StructField(name, T.DoubleType())], per_block, keep)
 
 

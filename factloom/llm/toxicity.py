@@ -3,14 +3,15 @@ obfuscation rates), calibrated by isotonic regression.
 
 The lexicon has a fixed part and one learned from the labelled rows: beginnings of words (4, 5, 6 and 8 bytes) that stand
 in toxic documents far more often than chance allows. A bounded hash sample of labelled rows (FIT_ROWS, a parameter) is
-split by hash: half of it gives the lexicon, a third the trees, the rest the calibration. With fewer than
-4,000 rows beyond the lexicon's half (about 8,000 labelled training rows) the trees' rows calibrate as well, so scores of
-small tables follow another calibration than those of large ones. Features of every whole text come from
-vectorised scans of its bytes; trees and calibration are SQL expressions.
+split by hash: half of it gives the lexicon, the other half the trees. They are calibrated on margins out of fold: for each
+of FOLDS parts of that half, trees grown on the others give its margins. The rule is the same at every size. Features of
+every whole text come from vectorised scans of its bytes; trees and calibration are SQL expressions.
 
 Defined cases: a null or empty text has all features 0 and gets the score of such a row. Rows without doc_id are held out.
-Repeated labels of a document count once, by the larger. Without labels of both kinds every score is 0 (or 1, if all
-labels are 1). An empty table gives no rows. Other columns are passed on untouched by scored().
+Repeated labels of a document count once, by the larger; of a labelled doc_id that repeats, the smallest text counts.
+Without labels of both kinds every score is 0 (or 1, if all labels are 1). An empty table gives no rows. A very long text
+is scanned whole, in about 30 bytes of memory for each of its own. Other columns are passed on untouched by scored(),
+whatever their names, but for one named as the score that the caller chooses, which is replaced.
 """
 
 from __future__ import annotations
@@ -24,12 +25,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from factloom.llm import gbt
-from factloom.llm.textvec import LOWER, PUNCTUATION, Words, blocks, column_bytes, mix64
+from factloom.llm.textvec import LOWER, PUNCTUATION, Words, blocks, column_bytes, fresh, mix64, worker_state
 from factloom.plans.stage import materialize
 
 FIT_ROWS = 24_000
-#: Words of the learned lexicon at most, by strength.
-LEXICON_WORDS = 4096
+#: Parts for margins out of fold.
+FOLDS = 3
 #: Common insults.
 INSULTS = "asshole bastard bitch clown cretin crétin débile disgusting dumb dumm fool garbage idiot idiota imbécil imbécile imbecile jerk loser moron pathetic scum stupid tonto trash trottel worthless".split()
 #: Words of the second person.
@@ -39,25 +40,27 @@ LEET = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$
 FOLDED = LOWER.copy()
 for _a, _b in LEET.items():
     FOLDED[ord(_a)] = ord(_b)
-PREFIXES = (4, 5, 6, 8)
+PREFIXES = (4, 5, 6)
 FEATURES = ("words", "strong", "strong_density", "weak_density", "insults", "insult_density", "weight", "weight_density", "near_second", "capitals", "exclaims", "punctuation", "digits", "obfuscated", "spelled")
 #: Words between a lexicon word and a word of the second person at most.
 NEAR = 6
 
 
-def _codes(words: list[str]) -> np.ndarray:
-    return np.unique(np.array([int.from_bytes(w.encode()[:8].ljust(8, b"\0"), "little") for w in words], np.uint64))
+def _hashes(words: list[str]) -> np.ndarray:
+    """Sorted hashes of whole words, as Words.hashes() gives them for texts."""
+    return np.unique(Words(*column_bytes(pa.array([" ".join(words)]))).hashes(LOWER))
 
 
-INSULT_CODES, SECOND_CODES = _codes(INSULTS), _codes(SECOND_PERSON)
+INSULT_WORDS, SECOND_WORDS = _hashes(INSULTS), _hashes(SECOND_PERSON)
 
 
-def prefix_keys(codes: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(which words, key) for each prefix length that a word has; length 8 stands for the whole word, as far as codes go."""
+def word_keys(codes: np.ndarray, hashes: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(which words, key) for each prefix length that a word has, and for the whole word."""
     for n in PREFIXES:
-        which = np.flatnonzero(size >= n) if n < 8 else np.flatnonzero(size >= 3)
-        kept = codes[which] & np.uint64((1 << (8 * n)) - 1) if n < 8 else codes[which]
-        yield which, mix64(kept + np.uint64(n * 0x9E3779B97F4A7C15 % 2**64))
+        which = np.flatnonzero(size >= n)
+        yield which, mix64((codes[which] & np.uint64((1 << (8 * n)) - 1)) + np.uint64(n * 0x9E3779B97F4A7C15 % 2**64))
+    which = np.flatnonzero(size >= 3)
+    yield which, hashes[which]
 
 
 class Lexicon:
@@ -78,19 +81,19 @@ class Lexicon:
         real = self.keys[place] == key[maybe]
         return maybe[real], place[real]
 
-    def score(self, codes: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(largest weight, strong or not) of each word; a word has weight 0 if none of its beginnings is listed."""
+    def score(self, codes: np.ndarray, hashes: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(largest weight, strong or not) of each word; a word has weight 0 if neither it nor a beginning of it is listed."""
         weight, strong = np.zeros(len(codes)), np.zeros(len(codes), bool)
-        for which, key in prefix_keys(codes, size):
+        for which, key in word_keys(codes, hashes, size):
             found, place = self.find(key)
             np.maximum.at(weight, which[found], self.weights[place])
             strong[which[found]] |= self.strong[place]
         return weight, strong
 
 
-def _within(sorted_codes: np.ndarray, codes: np.ndarray) -> np.ndarray:
-    place = np.minimum(np.searchsorted(sorted_codes, codes), len(sorted_codes) - 1)
-    return sorted_codes[place] == codes
+def _within(listed: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    place = np.minimum(np.searchsorted(listed, hashes), len(listed) - 1)
+    return listed[place] == hashes
 
 
 def features(text: np.ndarray, at: np.ndarray, lexicon: Lexicon) -> np.ndarray:
@@ -99,11 +102,11 @@ def features(text: np.ndarray, at: np.ndarray, lexicon: Lexicon) -> np.ndarray:
     w = Words(text, at, PUNCTUATION)
     size, count = w.end - w.start, w.counts().astype(float)
     per = lambda mask, rows=w.row: np.bincount(rows[mask], minlength=n).astype(float)
-    codes = w.codes(LOWER)
-    weight, strong = lexicon.score(codes, size)
-    insult = _within(INSULT_CODES, codes)
+    hashes = w.hashes(LOWER)
+    weight, strong = lexicon.score(w.codes(LOWER), hashes, size)
+    insult = _within(INSULT_WORDS, hashes)
     hits = np.flatnonzero(strong | insult)
-    second = np.flatnonzero(_within(SECOND_CODES, codes))
+    second = np.flatnonzero(_within(SECOND_WORDS, hashes))
     near = np.zeros(len(hits), bool)
     if len(second) and len(hits):
         place = np.searchsorted(second, hits)
@@ -126,8 +129,8 @@ def features(text: np.ndarray, at: np.ndarray, lexicon: Lexicon) -> np.ndarray:
         mixed = np.flatnonzero((sign_at[folded.end] > sign_at[folded.start]) & (sign_at[folded.end] - sign_at[folded.start] < folded.end - folded.start))
         if len(mixed):
             folded.start, folded.end, folded.row = folded.start[mixed], folded.end[mixed], folded.row[mixed]
-            c, s = folded.codes(FOLDED), folded.end - folded.start
-            hit = (lexicon.score(c, s)[1] & (s >= 4)) | _within(INSULT_CODES, c)
+            h, s = folded.hashes(FOLDED), folded.end - folded.start
+            hit = (lexicon.score(folded.codes(FOLDED), h, s)[1] & (s >= 4)) | _within(INSULT_WORDS, h)
             obfuscated = np.bincount(folded.row[hit], minlength=n).astype(float)
     single = size == 1
     run = single.copy()
@@ -142,11 +145,10 @@ def features(text: np.ndarray, at: np.ndarray, lexicon: Lexicon) -> np.ndarray:
     total = np.bincount(w.row, weights=weight, minlength=n)
     most = np.zeros(n)
     np.maximum.at(most, w.row, weight)
-    out = np.stack([
+    return np.stack([
         np.log1p(count), n_strong, n_strong / words, per((weight > 0) & ~strong) / words, n_insult, n_insult / words, most, total / np.sqrt(words),
         np.bincount(w.row[hits[near]], minlength=n), rate(marks == 1), rate(marks == 2), rate(PUNCTUATION[text]), rate(marks == 4), obfuscated, per(run),
     ], axis=1)
-    return out
 
 
 def by_block(df: DataFrame, extra: list[T.StructField], per_block, keep: list[str] | None = None, text: str = "text") -> DataFrame:
@@ -156,6 +158,7 @@ def by_block(df: DataFrame, extra: list[T.StructField], per_block, keep: list[st
     schema = T.StructType([*[df.schema.fields[i] for i in kept], *extra])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state(None, None)
         for batch in batches:
             data, at = column_bytes(batch.column(where))
             parts = [per_block(t, a) for t, a, _ in blocks(data, at)]
@@ -166,8 +169,9 @@ def by_block(df: DataFrame, extra: list[T.StructField], per_block, keep: list[st
     return df.mapInArrow(run, schema)
 
 
-def with_features(df: DataFrame, lexicon: Lexicon, keep: list[str] | None = None) -> DataFrame:
-    shared = df.sparkSession.sparkContext.broadcast((lexicon.keys, lexicon.weights, lexicon.strong))  # at most LEXICON_WORDS
+def with_features(df: DataFrame, lexicon: Lexicon, keep: list[str] | None = None, prefix: str = "_f_") -> DataFrame:
+    # The lexicon is made of a bounded sample, so it is bounded as well.
+    shared = df.sparkSession.sparkContext.broadcast((lexicon.keys, lexicon.weights, lexicon.strong))
     made: list = []
 
     def per_block(text, at):
@@ -175,11 +179,11 @@ def with_features(df: DataFrame, lexicon: Lexicon, keep: list[str] | None = None
             made.append(Lexicon(*shared.value))
         return features(text, at, made[0])
 
-    return by_block(df, [T.StructField(f"_f_{f}", T.DoubleType()) for f in FEATURES], per_block, keep)
+    return by_block(df, [T.StructField(f"{prefix}{f}", T.DoubleType()) for f in FEATURES], per_block, keep)
 
 
-def learn_lexicon(sample: DataFrame, most: int = LEXICON_WORDS) -> Lexicon:
-    """Beginnings of words of the labelled sample (text, label) whose documents are toxic beyond chance.
+def learn_lexicon(sample: DataFrame) -> Lexicon:
+    """Words and beginnings of words of the labelled sample (text, label) whose documents are toxic beyond chance.
 
     The measure is the log-likelihood ratio against the overall share; a beginning is strong if the ratio also clears what
     the largest of all beginnings could reach by chance.
@@ -194,7 +198,7 @@ def learn_lexicon(sample: DataFrame, most: int = LEXICON_WORDS) -> Lexicon:
                 w = Words(text, offsets, PUNCTUATION)
                 codes, size = w.codes(LOWER), w.end - w.start
                 keys, rows = [], []
-                for which, key in prefix_keys(codes, size):
+                for which, key in word_keys(codes, w.hashes(LOWER), size):
                     keys.append(key)
                     rows.append(w.row[which])
                 k, r = np.concatenate(keys), np.concatenate(rows)
@@ -217,7 +221,7 @@ def learn_lexicon(sample: DataFrame, most: int = LEXICON_WORDS) -> Lexicon:
     p, q = F.col("t") / F.col("n"), F.lit(share)
     part = lambda k, a, b: F.when(k > 0, k * F.log(a / b)).otherwise(0.0)
     ratio = 2 * (part(F.col("t"), p, q) + part(F.col("n") - F.col("t"), 1 - p, 1 - q))
-    listed = keys.withColumn("ratio", ratio).filter((p > 2 * q) & (p > 0.4) & (F.col("ratio") > 8)).orderBy(F.desc("ratio"), "key").limit(most).collect()
+    listed = keys.withColumn("ratio", ratio).filter((p > 2 * q) & (p > 0.4) & (F.col("ratio") > 8)).collect()
     if not listed:
         return none
     bar = 2 * np.log(max(keys.count(), 2)) + 2
@@ -232,9 +236,12 @@ class Toxicity:
 
     def scored(self, docs: DataFrame, name: str = "_toxic", keep: list[str] | None = None) -> DataFrame:
         """The columns ``keep`` of docs (all, if none are named) with ``name``: the probability of being toxic."""
-        names = [f"_f_{f}" for f in FEATURES]
-        d = with_features(docs, self.lexicon, keep).withColumn("_margin", self.model.margin(names))
-        return d.withColumn(name, gbt.calibrated(F.col("_margin"), self.knots)).drop("_margin", *names)
+        keep = [c for c in (docs.columns if keep is None else keep) if c != name]
+        prefix = fresh("_f_", [name, *docs.columns])
+        d = with_features(docs, self.lexicon, keep, prefix)
+        margin = fresh("_margin", d.columns)
+        d = d.withColumn(margin, self.model.margin([prefix + f for f in FEATURES]))
+        return d.select(*[F.col(f"`{c}`") for c in keep], gbt.calibrated(F.col(margin), self.knots).alias(name))
 
 
 def held_out(doc_id: Column, folds: int = 5, fold: int = 0) -> Column:
@@ -242,22 +249,28 @@ def held_out(doc_id: Column, folds: int = 5, fold: int = 0) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, training: Column, rows: int) -> DataFrame:
-    """text, label and doc_id of at most about ``rows`` labelled training rows. The labels are sampled before the join."""
-    labels = labels.filter(F.col(column).isNotNull() & F.col("doc_id").isNotNull() & training).groupBy("doc_id").agg(F.max(column).cast("int").alias("label"))
-    chosen = gbt.bounded_sample(labels, F.xxhash64("doc_id"), rows, "labels")
-    return materialize(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), "labelled")  # rows of chosen are bounded
+    """doc_id, text and label of at most about ``rows`` labelled training documents, which are sampled before the join. Rows
+    that repeat a doc_id count once."""
+    labels = labels.filter(F.col(column).isNotNull() & F.col("doc_id").isNotNull() & training)
+    chosen = gbt.bounded_sample(labels, "doc_id", {"label": F.max(column).cast("int")}, rows, "labels")
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # about ``rows`` rows of two numbers
+    return materialize(found.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label")), "labelled")
 
 
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Toxicity:
     sample = labelled_sample(docs, labels, "toxic", ~held_out(F.col("doc_id")), fit_rows)
-    part = F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(6))
-    lexicon = learn_lexicon(sample.filter(part < 3))
-    rest = materialize(with_features(sample.filter(part >= 3), lexicon, ["doc_id", "label"]), "toxic-features")
+    part = F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(2 * FOLDS))
+    lexicon = learn_lexicon(sample.filter(part < FOLDS))
+    rest = materialize(with_features(sample.filter(part >= FOLDS), lexicon, ["doc_id", "label"]), "toxic-features")
     names = [f"_f_{f}" for f in FEATURES]
-    model = gbt.fit(rest.filter(part < 5), names, "label", rounds=20, depth=3)
-    # Under 4,000 rows a sixth of the sample is too few to keep apart: then the rows of the trees calibrate as well.
-    held = rest if rest.count() < 4000 else rest.filter(part == 5)
-    return Toxicity(lexicon, model, gbt.isotonic(held, model.margin(names), "label"))
+
+    def grown(rows: DataFrame) -> gbt.Model:
+        return gbt.fit(rows, names, "label", rounds=20, depth=3)
+
+    margin = F.lit(0.0)
+    for k in range(FOLDS):
+        margin = F.when(part == FOLDS + k, grown(rest.filter(part != FOLDS + k)).margin(names)).otherwise(margin)
+    return Toxicity(lexicon, grown(rest), gbt.isotonic(rest, margin, "label"))
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
