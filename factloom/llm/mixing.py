@@ -6,8 +6,10 @@ gets about n / RANGE_ROWS of them, and no task holds more than a few ranges of a
 ranges, a small table, give the offsets; within a range a window adds the rest.
 
 Defined cases: a null or blank text has size 0 and is taken for 0 words. Documents without a source form one source, the
-last. Where all sizes are 0, all targets are 0. Repeated rows have equal keys and stand next to each other in the order,
-each taken on its own. An empty table gives no rows. Other columns are passed on untouched by mixture().
+last. Where all sizes are 0, all targets are 0. Rows that share a doc_id, or have none, have keys by their texts. Only rows
+equal in both have equal keys; they stand next to each other in the order, each taken on its own, and in one range. The
+table of sources, a row for each, is handled by one task: thousands of sources, not millions. Very long texts are counted
+and cut whole. An empty table gives no rows. Other columns are passed on untouched by mixture(), whatever their names.
 """
 
 from __future__ import annotations
@@ -49,7 +51,8 @@ def targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs: i
 
 
 def plan(docs: DataFrame, order: list[str], measured: DataFrame | None = None, weights=WEIGHTS, share: float = SHARE, epochs: int = EPOCHS) -> DataFrame:
-    """docs: source, size and key (hex digits of a hash). Adds source_size, target, whole, extra and taken.
+    """docs: source, size and key (hex digits of a hash). Adds source_size, target, whole, extra and taken, in the place of
+    columns with these names; all others stay.
 
     ``order`` breaks ties of keys; ``measured`` is a narrow copy of the same rows, where docs is dear to compute. Words
     before a document in its source, in the order of keys, settle what it gives: all of it once for each whole epoch, and
@@ -65,23 +68,28 @@ def plan(docs: DataFrame, order: list[str], measured: DataFrame | None = None, w
     sums = ranged(narrow).groupBy("source", "_range").agg(F.sum("size").alias("_words"))
     upto = Window.partitionBy("source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = materialize(sums.select(F.col("source").alias("_s"), F.col("_range").alias("_r"), F.coalesce(F.sum("_words").over(upto), F.lit(0)).alias("_offset")), "mix-offsets")
-    d = ranged(docs).join(offsets, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_range") == F.col("_r"))).drop("_s", "_r")
+    made = ["source_size", "target", "whole", "extra", "taken"]
+    boxed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *dict.fromkeys(["source", "size", "key", *order]))
+    d = ranged(boxed).join(offsets, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_range") == F.col("_r"))).drop("_s", "_r")
     within = Window.partitionBy("source", "_range").orderBy("key", *order).rowsBetween(Window.unboundedPreceding, -1)
     before = F.col("_offset") + F.coalesce(F.sum("size").over(within), F.lit(0))
     budget = F.floor("target")
     d = d.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0)))
     rest = budget - F.col("whole") * F.col("source_size")
     d = d.withColumn("extra", F.greatest(F.lit(0), F.least(F.col("size"), rest - before)))
-    return d.withColumn("taken", (F.col("whole") * F.col("size") + F.col("extra")).cast("long")).drop("_spans", "_range", "_offset")
+    d = d.withColumn("taken", (F.col("whole") * F.col("size") + F.col("extra")).cast("long"))
+    return d.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in made], *made)
 
 
-def random_key(doc_id: Column) -> Column:
-    return F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
+def random_key(doc_id: Column, text: Column) -> Column:
+    """Hex digits of a hash of id and text, so that no number of rows without an id shares a key."""
+    parts = [F.coalesce(doc_id.cast("string"), F.lit("")), F.md5(F.coalesce(text, F.lit("")).cast("binary"))]
+    return F.md5(F.concat_ws(":", *parts).cast("binary"))
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    narrow = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), random_key(F.col("doc_id")).alias("key"))
+    narrow = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), random_key(F.col("doc_id"), F.col("text")).alias("key"))
     return plan(materialize(narrow, "mix-sizes"), ["doc_id", "size"]).select("doc_id", "size", "source_size", "target", "taken")
 
 
@@ -89,7 +97,7 @@ def op3(spark, sf_dir: str) -> DataFrame:
 SQL3 = """
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
-         md5(coalesce(doc_id::VARCHAR, '')) AS key
+         md5(coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))) AS key
   FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, [3.0::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE][((row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1)::INT] AS w,
@@ -113,7 +121,7 @@ def mixture(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs: int
     """The mix itself, with the columns of docs: a document once for each epoch that takes it whole, and the one at a
     budget's end cut after its last word that still fits (n_chars, if there, then counts the cut text)."""
     names = docs.columns
-    key = random_key(F.col("row.doc_id"))
+    key = random_key(F.col("row.doc_id"), F.col("row.text"))
     boxed = docs.select(F.struct(*[F.col(f"`{n}`") for n in names]).alias("row")).select("row", F.col("row.source").alias("source"), n_words(F.col("row.text")).alias("size"), key.alias("key"))
     measured = materialize(boxed.select("source", "size", "key"), "mix-sizes")
     d = plan(boxed.withColumn("id", F.col("row.doc_id")), ["id", "size"], measured, weights, share, epochs).filter("taken > 0")

@@ -9,7 +9,10 @@ the range, and no other. It holds one block of the file and one record's inflate
 
 Defined cases: a null payload is empty. Of records with equal payloads the one with the largest page_id is the response
 and all others revisit it; rows that share the largest page_id are all responses. A null page_id sorts first; its record
-names no page. Payloads under ``least`` bytes are never revisited. An empty table gives no rows.
+names no page. A null url is left out of its record and read back as null. Payloads under ``least`` bytes are never
+revisited. A very long page is one record; writing it takes its size in memory, reading it a block at a time. Other columns
+are not read. A member whose header is sound and whose rest is not (cut off, damaged, a length that is no number) gives a
+row of the type ``damaged`` without counts, and the search goes on one byte after its start. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,8 +29,8 @@ from pyspark.sql import functions as F
 
 from factloom.plans.stage import materialize, new_path
 
-#: Bytes of a file that one task reads; bytes read and inflated at once; places over which a group of equal payloads is spread.
-SPLIT, BLOCK, PIECE, SALT = 16 << 20, 1 << 20, 1 << 14, 16
+#: Bytes of a file that one task reads; bytes read and inflated at once.
+SPLIT, BLOCK, PIECE = 16 << 20, 1 << 20, 1 << 14
 MAGIC = b"\x1f\x8b\x08"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: A time for all records, so that reruns give equal files.
@@ -48,8 +51,10 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     kind = "response" if refers_to is None else "revisit"
     body = head + payload if refers_to is None else head
-    target = (url or "about:blank").replace("\r", "%0D").replace("\n", "%0A")
-    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", f"WARC-Date: {DATE}", f"WARC-Target-URI: {target}", f"WARC-Payload-Digest: sha1:{digest}"]
+    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", f"WARC-Date: {DATE}"]
+    if url is not None:
+        lines.append("WARC-Target-URI: " + url.replace("\r", "%0D").replace("\n", "%0A"))
+    lines.append(f"WARC-Payload-Digest: sha1:{digest}")
     if refers_to is not None:
         lines += [f"WARC-Refers-To: <urn:page:{refers_to}>", f"WARC-Profile: {PROFILE}"]
     lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(body)}", "", ""]
@@ -64,16 +69,16 @@ def digest32(payload: bytes) -> str:
 def with_originals(pages: DataFrame, least: int = 0) -> DataFrame:
     """pages (page_id, url, html) with refers_to: the response that a page's record revisits, or null.
 
-    Only groups of two rows or more enter the join, each SALT times, so that one large group is spread over many tasks.
+    Payloads are equal if length and SHA-256 are. Only groups of two rows or more are joined to, in a join of two shuffles,
+    so that Spark splits a group of any size over as many tasks as it needs.
     """
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce(F.col("html"), F.lit("")).alias("html"))
-    p = p.withColumn("_sha", F.sha1(F.col("html").cast("binary")))
-    known = materialize(p.select("page_id", "_sha", F.octet_length("html").alias("_n")), "payloads")
-    groups = known.filter(F.col("_n") >= least).groupBy("_sha").agg(F.max("page_id").alias("_first"), F.count("*").alias("_c")).filter("_c > 1 AND _first IS NOT NULL")
-    spread = groups.select(F.col("_sha").alias("_g"), "_first", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("_s"))
-    p = p.withColumn("_salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALT)).cast("int"))
-    joined = p.join(spread, (F.col("_sha") == F.col("_g")) & (F.col("_salt") == F.col("_s")), "left")
-    return joined.select("page_id", "url", "html", F.when(F.coalesce(F.col("page_id") != F.col("_first"), F.col("_first").isNotNull()), F.col("_first")).alias("refers_to"))
+    p = p.withColumn("sha", F.sha2(F.col("html").cast("binary"), 256))
+    known = p.select("page_id", "sha", F.octet_length("html").alias("n")).filter(F.col("n") >= least)
+    groups = known.groupBy("sha", "n").agg(F.max("page_id").alias("first"), F.count("*").alias("c")).filter("c > 1 AND first IS NOT NULL")
+    groups = materialize(groups.select("sha", "first"), "payload-groups")
+    refers = F.when(F.coalesce(F.col("page_id") != F.col("first"), F.col("first").isNotNull()), F.col("first"))
+    return p.join(groups, "sha", "left").select("page_id", "url", "html", refers.alias("refers_to"))
 
 
 def write_archive(pages: DataFrame, folder: str) -> DataFrame:
@@ -190,8 +195,11 @@ def read_range(file, start: int, end: int, size: int) -> Iterator[tuple[dict[str
             at += 1
             continue
         yield head, member
-        member.finish()
-        at = member.end
+        try:
+            member.finish()
+            at = member.end
+        except zlib.error:
+            at += 1
 
 
 def _number(name: str | None) -> int | None:
@@ -217,7 +225,10 @@ def read_archive(spark, files: DataFrame, split: int = SPLIT, payloads: bool = F
                 with store.open_input_file(f"{root}/{name}") as f:
                     rows: list = []
                     for head, member in read_range(f, row["start"], row["start"] + split, row["size"]):
-                        rows.append(_record_row(head, member, payloads))
+                        try:
+                            rows.append(_record_row(head, member, payloads))
+                        except (zlib.error, ValueError):
+                            rows.append((_number(head.get("warc-record-id")), head.get("warc-target-uri"), "damaged", None, None, None, None))
                         if len(rows) >= (64 if payloads else 4096):
                             yield _batch(rows, payloads)
                             rows = []
@@ -230,6 +241,8 @@ def read_archive(spark, files: DataFrame, split: int = SPLIT, payloads: bool = F
 def _record_row(head: dict[str, str], member: _Member, payloads: bool) -> tuple:
     n, kind = int(head.get("content-length", "0")), head.get("warc-type", "")
     http, sha, size, kept, seen = b"", hashlib.sha1(), 0, [], False
+    if n < 0:
+        raise ValueError("a negative length")
     for part in member.pieces(n):
         if not seen:
             http += part
