@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from factloom.llm import bpe, mixing, near_dup, quality_knn, quality_rules, token_count, topk, toxicity, urlfilter, warc
 from factloom.llm.textvec import Words, blocks, column_bytes, shingles
 
-ODD = [None, "", " ", "\n\n", "  a  b ", "it's I'LL <|endoftext|> x<|startoftext|>", "É ß Σ ὈΔΥΣΣΕΎΣ İ 中文 😀 e\u0301", "▁ a▁b", "don't 4.5% 10²", "w" * 3000, "a \nb\n c", " ".join(f"word{i % 700}" for i in range(6000))]
+ODD = [None, "", " ", "\n\n", "  a  b ", "it's I'LL <|endoftext|> x<|startoftext|>", "É ß Σ ὈΔΥΣΣΕΎΣ İ 中文 😀 e\u0301", "▁ a▁b", "a\0b a\0b a\0b x", "don't 4.5% 10²", "w" * 3000, "a \nb\n c", " ".join(f"word{i % 700}" for i in range(6000))]
 SF = "/root/testdata/sf0.001"
 
 
@@ -39,7 +39,7 @@ def test_hosts_paths_and_rules(spark):
 def test_trees_learn_labelled_urls(spark):
     rows = [(f"http://h{i}.test/{'x' * (i % 9)}{'?a=1&b=2' if i % 2 else ''}", i % 2) for i in range(400)]
     model = urlfilter.fit(spark.createDataFrame(rows, "url string, blocked int"), rules=[])
-    got = model.apply(spark.createDataFrame(rows, "url string, blocked int")).select((F.col("verdict") == "block").cast("int") == F.col("blocked")).collect()
+    got = model.apply(spark.createDataFrame(rows, "url string, blocked int")).select((F.col("url_filter.verdict") == "block").cast("int") == F.col("blocked")).collect()
     assert all(r[0] for r in got)
     assert model.apply(spark.createDataFrame([], "url string, host string")).count() == 0
 
@@ -96,7 +96,7 @@ def test_mixture_cuts_at_the_budget(spark):
     d = docs(spark, ODD).withColumn("size", F.lit("clash"))
     out = mixing.mixture(d)
     assert out.columns == d.columns
-    plan = mixing.plan(d.select("doc_id", "source", mixing.n_words(F.col("text")).alias("size"), mixing.random_key(F.col("doc_id")).alias("key")), ["doc_id", "size"])
+    plan = mixing.plan(d.select("doc_id", "source", mixing.n_words(F.col("text")).alias("size"), mixing.random_key(F.col("doc_id"), F.col("text")).alias("key")), ["doc_id", "size"])
     want = {r["doc_id"]: r["taken"] for r in plan.filter("taken > 0").collect()}
     got = {}
     for r in out.collect():
@@ -157,7 +157,7 @@ def test_counts_equal_the_library(spark):
     with open(token_count.vocabulary_file(), "rb") as f:
         library = token_count.Lengths(f.read()).library
     got = {r["doc_id"]: r for r in token_count.counted(docs(spark, texts)).collect()}
-    assert all(got[i]["n_tokens"] == len(library.encode(t or "")) and got[i]["n_bytes"] == len((t or "").encode()) for i, t in enumerate(texts))
+    assert all(got[i]["tokens"]["n_tokens"] == len(library.encode(t or "")) and got[i]["tokens"]["n_bytes"] == len((t or "").encode()) for i, t in enumerate(texts))
 
 
 # --- classifiers
@@ -242,10 +242,11 @@ def test_ids_that_repeat_or_lack(spark):
     assert near_dup.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def test_components_that_are_not_closed_raise(spark):
-    pairs = spark.createDataFrame([(i, i + 1) for i in range(6)], "a long, b long")
-    with pytest.raises(RuntimeError):
-        near_dup.components(pairs, rounds=1)
+def test_components_run_to_the_end(spark):
+    order = np.random.default_rng(2).permutation(300).tolist()
+    pairs = spark.createDataFrame([*zip(order, order[1:], strict=False), (500, 501), (501, 502)], "a long, b long")
+    want = {(i, 0) for i in range(300)} | {(i, 500) for i in (500, 501, 502)}
+    assert {tuple(r) for r in near_dup.components(pairs).collect()} == want
 
 
 def test_words_in_blocks_are_words_of_texts():
