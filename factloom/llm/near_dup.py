@@ -10,7 +10,8 @@ whole sets decides. Steps:
 3. The whole sets of the listed classes are computed once and written in buckets by class, so that later joins move the
    pairs to the sets and not the sets to the pairs.
 4. Each list has a hub, the member whose values are the most common. Every member is compared with the hub: pairs grow
-   with the lists' lengths, not their squares. Linked members merge.
+   with the lists' lengths, not their squares. Linked members merge. In lists of more than SHORT members that still hold
+   several components, all that lie apart from one of the next HUBS - 1 members in that order are compared with it.
 5. Lists that still hold several components: those of at most SHORT members compare all of them across components, a
    bounded number for each member. The members of longer ones go through an exact prefix join over their whole sets.
    Either way no link between components of a list is lost.
@@ -36,7 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.llm.textvec import LOWER, Words, blocks, column_bytes, mix64, shingles, worker_state
@@ -44,8 +45,12 @@ from factloom.plans.stage import bucketed, discard, materialize
 
 #: Values of a sketch, those of them that are listed, and members of a list that are all compared with each other.
 SKETCH, LISTED, SHORT = 64, 16, 16
+#: Hubs of a longer list.
+HUBS = 4
 #: Chance that a similar pair shares too few listed values; how far an estimate may lie under the bar.
 LOSS, MARGIN = 1e-7, 0.3
+#: Keys that are broadcast at most, 8 bytes each.
+BROADCAST_KEYS = 1_000_000
 #: Links have 100 * intersection >= PERCENT * union.
 PERCENT = 85
 
@@ -144,8 +149,9 @@ def with_commonness(lists: DataFrame, cls: DataFrame) -> DataFrame:
     """lists with shared: how common the values of the class's whole sketch are among the listed classes."""
     each = cls.join(lists.select("key"), "key", "left_semi").select("key", F.explode("sketch").alias("v"))
     counts = each.groupBy("v").agg(F.count("*").alias("df")).filter("df > 1").select(apart("v"), "df")
-    shared = each.join(counts, "v").groupBy("key").agg(F.sum(F.log2("df")).alias("shared"))
-    return lists.join(shared, "key", "left").select("key", "n", "listed", F.coalesce("shared", F.lit(0.0)).alias("shared"))
+    weight = F.floor(F.log2("df") * 1024)  # whole numbers, so that the order of the sum changes nothing
+    shared = each.join(counts, "v").groupBy("key").agg(F.sum(weight).alias("shared"))
+    return lists.join(shared, "key", "left").select("key", "n", "listed", F.coalesce("shared", F.lit(0)).alias("shared"))
 
 
 def _union_estimate(a: Column, b: Column, k: int) -> Column:
@@ -214,7 +220,10 @@ def near_duplicates(docs: DataFrame, k: int = SKETCH, percent: int = PERCENT, si
     found = materialize(postings(cls, LISTED, percent), "postings")
     lists = materialize(with_commonness(found, cls), "lists")
     discard(cls, found)
-    texts = docs.select(F.col("doc_id").cast("long").alias("key"), "text").join(lists.select("key"), "key", "left_semi")
+    asked = lists.select("key")
+    # Texts move to the keys only where these are too many to go to the texts.
+    asked = F.broadcast(asked) if asked.count() <= BROADCAST_KEYS else asked
+    texts = docs.select(F.col("doc_id").cast("long").alias("key"), "text").join(asked, "key", "left_semi")
     # Rows that share a doc_id may hold other sets than the class that it names: only that set counts here.
     sets = whole_sets(texts, k, size).join(lists.select("key", F.col("listed").alias("l"), F.col("n").alias("m")), "key")
     sets = sets.filter((F.col("n") == F.col("m")) & (F.size(F.array_except("l", "sketch")) == 0)).select("key", "n", "sketch", "whole")
@@ -226,14 +235,18 @@ def near_duplicates(docs: DataFrame, k: int = SKETCH, percent: int = PERCENT, si
     first = verified(star, sets, k, percent, "hubs")
     merged = materialize(components(first), "merged")
     open_ = materialize(open_members(spread, merged), "open")
+    second = verified(next_hubs(open_, percent), sets, k, percent, "next-hubs")
+    first, old = first.union(second), [first, second, merged, open_]
+    merged = materialize(components(first), "merged")
+    open_ = materialize(open_members(spread, merged), "open")
     short = verified(short_pairs(open_, percent), sets, k, percent, "short")
-    long = exact_links(open_.filter(F.col("c") > SHORT).select("key", "comp").distinct(), sets, percent)
+    long = long_links(open_.filter(F.col("c") > SHORT).select("key", "comp").distinct(), sets, k, percent)
     real = placed.filter("key IS NOT NULL")
     several = real.groupBy("doc_id").agg(F.min("key").alias("a"), F.max("key").alias("z")).filter("a != z").select(apart("doc_id"), "a")
     again = real.join(several, "doc_id").select("a", F.col("key").alias("b")).distinct()
     links = first.union(short).union(long).union(again).union(merged.select(F.col("comp").alias("a"), F.col("key").alias("b")))
     final = materialize(components(links.filter("a != b")), "components")
-    discard(sets, lists, open_, merged, first, short, long)
+    discard(sets, lists, open_, merged, short, long, *old)
     known = real.join(final, "key", "left").select("doc_id", "n_shingles", F.coalesce("comp", "key").alias("component_id"))
     blank = placed.filter("key IS NULL AND doc_id IS NOT NULL").select("doc_id", "n_shingles")
     elsewhere = known.select("doc_id", F.col("component_id").alias("c")).distinct()
@@ -244,12 +257,22 @@ def near_duplicates(docs: DataFrame, k: int = SKETCH, percent: int = PERCENT, si
 
 
 def open_members(spread: DataFrame, merged: DataFrame) -> DataFrame:
-    """v, key, n, comp and c (members of the list) of the lists that still hold several components."""
-    at = spread.join(merged, "key", "left").select("v", "key", "n", F.coalesce("comp", "key").alias("comp"))
+    """v, key, n, shared, comp and c (members of the list) of the lists that still hold several components."""
+    at = spread.join(merged, "key", "left").select("v", "key", "n", "shared", F.coalesce("comp", "key").alias("comp"))
     parts = at.groupBy("v").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("c"))
     return at.join(parts.filter("low != high").select(apart("v"), "c"), "v")
 
 
+def next_hubs(open_: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of the members of longer lists and their next hubs b, across components."""
+    lists = open_.filter(F.col("c") > SHORT)
+    order = Window.partitionBy("v").orderBy(F.desc("shared"), "key")
+    hubs = lists.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= HUBS)
+    hubs = hubs.filter("rank > 1").select(apart("v"), F.col("key").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
+    met = lists.join(hubs, "v").filter((F.col("comp") != F.col("cb")) & _sizes_fit(F.col("n"), F.col("nb"), percent))
+    return met.select(F.col("key").alias("a"), "b").distinct()
+
+
 def short_pairs(open_: DataFrame, percent: int) -> DataFrame:
     """All pairs (a, b) across components of the lists of at most SHORT members: under SHORT for each member of a list."""
     lists = open_.filter(F.col("c") <= SHORT)
@@ -258,7 +281,7 @@ def short_pairs(open_: DataFrame, percent: int) -> DataFrame:
     return a.join(b, "v").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _sizes_fit(F.col("na"), F.col("nb"), percent)).select("a", "b").distinct()
 
 
-def exact_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def long_links(members: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
     """The similar pairs (a, b) of members (key, comp) across components, by a prefix join over whole sets.
 
     Shingles are ordered by how many members have them. Similar sets share one of the first n - need + 1 of that order,
@@ -283,13 +306,9 @@ def exact_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     once = F.get(F.array_intersect("la", "lb"), F.lit(0)) == F.col("va")
     across = (F.col("va") == F.col("vb")) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))
     pairs = side("a").join(side("b"), across & _sizes_fit(F.col("na"), F.col("nb"), percent) & room & once)
-    pairs = materialize(pairs.select("a", "b"), "open-pairs")
-    discard(places)
-    wholes = sets.select("key", "whole")
-    left = pairs.join(wholes.select(F.col("key").alias("a"), F.col("whole").alias("wa")), "a")
-    links = left.join(wholes.select(apart("key").alias("b"), F.col("whole").alias("wb")), "b").filter(_similar(percent)).select("a", "b")
-    links = materialize(links, "open-links")
-    discard(pairs)
+    pairs = materialize(pairs.select("a", "b"), "long-pairs")
+    links = verified(pairs, sets, k, percent, "long")
+    discard(places, pairs)
     return links
 
 
