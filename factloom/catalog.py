@@ -579,3 +579,6 @@ def property_graph_edges_whole(spark, sf_dir):
     unknowns = sites.select(_function_id(F.col("caller")).alias("function_id"), F.lit("unresolved-call").alias("kind"), F.concat_ws(":", F.lit("site"), "ord", "pos").alias("scope"), "reason")
     _, edges = facts.property_graph(*_summaries(spark, sf_dir, None), unknowns)
     return edges.groupBy("kind").agg(F.count("*").alias("edges"))
+
+
+from factloom import catalog_typed  # noqa: E402, F401  registers its queries

@@ -62,3 +62,29 @@ def derived_fact_id(relation: Column, columns: Column, epistemic: Column, rule:
 def key_of(*values: Column) -> Column:
     """Values joined by the unit separator."""
     return F.concat_ws("\x1f", *values)
+
+
+def digest_bytes(text: Column) -> Column:
+    """The 32 bytes of 64 hex digits of either case; null for anything else."""
+    return F.when(text.rlike(r"^[0-9a-fA-F]{64}\z"), F.unhex(text))
+
+
+def digest_text(raw: Column) -> Column:
+    return F.lower(F.hex(raw))
+
+
+def parse_id(value: Column) -> Column:
+    """kind and digest of a stable id; both null for anything else."""
+    form = r"^([a-z]+):sha256:([0-9a-f]{64})\z"
+    part = lambda i: F.when(value.rlike(form), F.regexp_extract(value, form, i))
+    return F.struct(part(1).alias("kind"), part(2).alias("digest"))
+
+
+def strict_integer(text: Column) -> Column:
+    """The value of a decimal without spaces, plus sign, leading zeros or overflow; null for anything else."""
+    return F.when(text.rlike(r"^(0|-?[1-9][0-9]*)\z"), text.try_cast("long"))
+
+
+def sorted_joined(values: Column, separator: str) -> Column:
+    """The distinct values of an array in order, joined."""
+    return F.array_join(F.array_sort(F.array_distinct(values)), separator)

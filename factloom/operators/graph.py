@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from factloom.functions.ids import NAMESPACE, field, field_list, stable_id
 from factloom.functions.lattice import merged
 from factloom.plans.closure import close
-from factloom.plans.stage import materialize
+from factloom.plans.stage import discard, materialize
 
 
 def callees(edges: DataFrame, function) -> DataFrame:
@@ -28,14 +28,16 @@ def strongly_connected(edges: DataFrame) -> DataFrame:
     """
     e = materialize(edges.select("src", "dst").distinct(), "scc-edges")
     nodes = e.select(F.col("src").alias("node")).union(e.select(F.col("dst").alias("node"))).distinct()
-    core = e.filter("src != dst")
+    core = materialize(e.filter("src != dst"), "scc-core")
+    left = core.count()
     while True:
         heads = core.select(F.col("src").alias("n")).distinct()
         tails = core.select(F.col("dst").alias("n")).distinct()
         less = materialize(core.join(tails, core.src == tails.n, "left_semi").join(heads, core.dst == heads.n, "left_semi"), "scc-core")
-        if less.count() == core.count():
+        discard(core)
+        core, before, left = less, left, less.count()
+        if left == before:
             break
-        core = less
     reach = close(core.withColumn("epistemic", F.lit(1)), core.select(F.col("src").alias("source"), F.col("dst").alias("target"), F.lit(1).alias("epistemic"))).facts
     back = reach.select(F.col("source").alias("t"), F.col("target").alias("s"))
     mutual = reach.join(back, (reach.source == back.s) & (reach.target == back.t)).groupBy("source").agg(F.min("target").alias("low"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions.ids import derived_fact_id
 from factloom.functions.lattice import weaken
-from factloom.plans.stage import materialize
+from factloom.plans.stage import Rounds, materialize
 
 #: Rules of a relation: direct and through a call.
 RULES = {"ReachableCall": ("reachable.direct.v1", "reachable.transitive.v1"), "MayWrite": ("may_write.direct.v1", "may_write.transitive.v1")}
@@ -26,18 +26,17 @@ def proofs(calls: DataFrame, direct: DataFrame, relation: str, max_rank: int = 1
     one, more = RULES[relation]
     named = lambda df: df.withColumn("tuple_id", derived_fact_id(F.lit(relation), F.array(F.col("source").cast("string"), F.col("target").cast("string")), F.col("epistemic"), F.col("rule"), F.col("inputs")))
     first = direct.groupBy(*KEY).agg(F.min(F.struct(F.array("fact_id").alias("inputs"), F.lit(one).alias("rule"))).alias("best"))
-    done = materialize(named(first.select(*KEY, F.lit(0).alias("rank"), "best.rule", "best.inputs")), "proofs")
-    fresh = done
+    done = Rounds(calls.sparkSession, "proofs")
+    fresh = done.add(named(first.select(*KEY, F.lit(0).alias("rank"), "best.rule", "best.inputs")))
     step = calls.select(F.col("source").alias("from"), F.col("target").alias("via"), F.col("epistemic").alias("e"), "fact_id")
     for rank in range(1, max_rank + 1):
         sub = fresh.select(F.col("source").alias("s"), "target", "epistemic", "tuple_id")
         found = step.join(sub, step.via == sub.s).select(F.col("from").alias("source"), "target", weaken(F.col("e"), F.col("epistemic")).alias("epistemic"), F.array_sort(F.array("fact_id", "tuple_id")).alias("inputs"))
-        best = found.join(done.select(*KEY), KEY, "left_anti").groupBy(*KEY).agg(F.min(F.struct("inputs", F.lit(more).alias("rule"))).alias("best"))
-        fresh = materialize(named(best.select(*KEY, F.lit(rank).alias("rank"), "best.rule", "best.inputs")), "proofs-new")
+        best = found.join(done.all().select(*KEY), KEY, "left_anti").groupBy(*KEY).agg(F.min(F.struct("inputs", F.lit(more).alias("rule"))).alias("best"))
+        fresh = done.add(named(best.select(*KEY, F.lit(rank).alias("rank"), "best.rule", "best.inputs")))
         if fresh.isEmpty():
-            break
-        done = materialize(done.unionByName(fresh), "proofs")
-    return done
+            return done.all()
+    raise RuntimeError(f"proofs are not complete after {max_rank} ranks")
 
 
 def final_rows(proven: DataFrame) -> DataFrame:
@@ -70,3 +69,11 @@ def missing_inputs(rows: DataFrame, base: DataFrame) -> DataFrame:
 def unproven(claimed: DataFrame, proven: DataFrame) -> DataFrame:
     """Claimed rows (source, target, epistemic) without an acyclic proof."""
     return claimed.join(proven.select(*KEY), KEY, "left_anti")
+
+
+def require_proven(claimed: DataFrame, proven: DataFrame) -> DataFrame:
+    """claimed, or an error that names a row without an acyclic proof."""
+    row = unproven(claimed, proven).orderBy(*KEY).first()
+    if row is not None:
+        raise ValueError(f"no acyclic provenance proof of {row['source']} > {row['target']} ({row['epistemic']})")
+    return claimed

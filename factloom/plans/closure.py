@@ -1,8 +1,9 @@
 """Transitive closures with the lattice: a semi-naive loop of DataFrame plans.
 
 Each round joins the edges with the rows that the last round added or weakened, keeps the weakest state for each key and
-looks up what is new by an outer join. Written tables cut the lineage of every round. Rows enter the frontier at most twice
-(as MUST and as MAY), so cycles end. A broadcast is left to the planner, which takes one only where the measured size of
+looks up what is new by an outer join. Every round's rows are written once, as a further part of the closure, which cuts
+the lineage. Rows enter the frontier at most twice (as MUST and as MAY), so cycles end, and no round rewrites what others
+have found. A broadcast is left to the planner, which takes one only where the measured size of
 the written side allows it.
 """
 
@@ -14,9 +15,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions.lattice import MAY, merged, weaken
-from factloom.plans.stage import materialize
+from factloom.plans.stage import Rounds, discard, materialize
 
-CONVERGED, APPROXIMATED, TIMEOUT, UNSUPPORTED = 0, 1, 2, 3
+CONVERGED, APPROXIMATED = 0, 1
 
 
 @dataclass
@@ -34,19 +35,20 @@ def close(edges: DataFrame, seed: DataFrame, max_rounds: int = 10_000) -> Closur
     If max_rounds end the loop early, every fact is weakened to MAY and the status says so.
     """
     edges = materialize(merged(edges.select("src", "dst", "epistemic"), ["src", "dst"]).withColumnRenamed("epistemic", "step"), "edges")
-    total = materialize(merged(seed.select("source", "target", "epistemic"), ["source", "target"]), "total")
-    fresh, rounds = total, 0
+    found = Rounds(seed.sparkSession, "closure")
+    fresh, rounds = found.add(merged(seed.select("source", "target", "epistemic"), ["source", "target"])), 0
     while True:
+        total = merged(found.all(), ["source", "target"])
         if rounds >= max_rounds:
             return Closure(total.withColumn("epistemic", F.lit(MAY)), APPROXIMATED, rounds)
         reached = edges.join(fresh, edges.dst == fresh.source).select(F.col("src").alias("source"), "target", weaken(F.col("step"), F.col("epistemic")).alias("epistemic"))
         known = total.withColumnRenamed("epistemic", "known")
         better = merged(reached, ["source", "target"]).join(known, ["source", "target"], "left").filter("known IS NULL OR epistemic > known")
-        fresh = materialize(better.select("source", "target", "epistemic"), "fresh")
+        fresh = found.add(better.select("source", "target", "epistemic"))
         rounds += 1
         if fresh.isEmpty():
+            discard(edges)
             return Closure(total, CONVERGED, rounds)
-        total = materialize(merged(total.unionByName(fresh), ["source", "target"]), "total")
 
 
 def double(pairs: DataFrame, max_rounds: int = 64) -> Closure:
@@ -57,21 +59,23 @@ def double(pairs: DataFrame, max_rounds: int = 64) -> Closure:
         longer = total.join(right, total.target == right.via).select("source", F.col("far").alias("target"), weaken(F.col("epistemic"), F.col("more")).alias("epistemic"))
         new = materialize(merged(total.unionByName(longer), ["source", "target"]), "total")
         if new.agg(F.count("*"), F.sum("epistemic")).first() == total.agg(F.count("*"), F.sum("epistemic")).first():
+            discard(total)
             return Closure(new, CONVERGED, rounds)
+        discard(total)
         total = new
     return Closure(total.withColumn("epistemic", F.lit(MAY)), APPROXIMATED, max_rounds)
 
 
 def reachable_from(edges: DataFrame, roots: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     """node: what the roots (node) reach through edges (src, dst), the roots included. A demand-driven restriction."""
-    seen = materialize(roots.select("node").distinct(), "seen")
-    fresh = seen
+    seen = Rounds(edges.sparkSession, "reached")
+    fresh = seen.add(roots.select("node").distinct())
     for _ in range(max_rounds):
-        fresh = materialize(edges.join(fresh, edges.src == fresh.node).select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti"), "fresh")
+        step = edges.join(fresh, edges.src == fresh.node).select(F.col("dst").alias("node")).distinct()
+        fresh = seen.add(step.join(seen.all(), "node", "left_anti"))
         if fresh.isEmpty():
-            break
-        seen = materialize(seen.unionByName(fresh), "seen")
-    return seen
+            return seen.all()
+    raise RuntimeError(f"what the roots reach is not closed after {max_rounds} rounds")
 
 
 def descend(edges: DataFrame, roots: DataFrame, max_rounds: int = 10_000) -> DataFrame:

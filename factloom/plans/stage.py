@@ -86,6 +86,26 @@ def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
     return _noted(out, path)
 
 
+class Rounds:
+    """A table that grows by parts: each is written once, and a reader of the whole sees all parts so far."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.path, self.parts, self.schema = spark, new_path(spark, name), 0, None
+
+    def add(self, df: DataFrame) -> DataFrame:
+        """Writes df as the next part and returns a scan of it."""
+        self.schema = self.schema or df.schema
+        path = f"{self.path}/part={self.parts}"
+        with _cleaned(self.spark):
+            df.write.parquet(path)
+        self.parts += 1
+        return self.spark.read.schema(self.schema).parquet(path)
+
+    def all(self) -> DataFrame:
+        out = self.spark.read.schema(self.schema).parquet(*[f"{self.path}/part={i}" for i in range(self.parts)])
+        return _noted(out, self.path)
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes tables of materialize() and bucketed(); nothing may read them any more, and what was made of them must be
     written."""

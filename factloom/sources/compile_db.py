@@ -15,12 +15,18 @@ def read_compile_database(spark: SparkSession, path: str, root: str) -> DataFram
     """
     schema = "directory string, file string, command string, arguments array<string>"
     rows = spark.read.schema(schema).option("multiLine", True).json(path)
-    words = F.coalesce("arguments", F.filter(F.split("command", r"\s+"), lambda w: w != ""))
+    words = F.coalesce("arguments", split_command(F.col("command")))
     return rows.select(
         with_root(F.col("file"), root).alias("file"), with_root(F.col("directory"), root).alias("directory"), F.transform(words, lambda w, i: F.when(i == 0, base_name(w)).otherwise(with_root(w, root))).alias("arguments"), location(F.col("file"), root).alias("location"),
     ).withColumn("options_hash", domain_hash(f"{NAMESPACE}.options", F.array_join(replay_flags(F.col("arguments"), F.col("file")), "\0")))
 
 
+def split_command(command: Column) -> Column:
+    """Words of a command line; quotes hold words together and go."""
+    words = F.regexp_extract_all(command, F.lit(r"""(?:[^\s"']+|"[^"]*"|'[^']*')+"""), F.lit(0))
+    return F.transform(words, lambda w: F.regexp_replace(w, "[\"']", ""))
+
+
 def base_name(path: Column) -> Column:
     return F.substring_index(path, "/", -1)
 
@@ -37,7 +43,7 @@ def location(path: Column, root: str) -> Column:
 def replay_flags(arguments: Column, file: Column) -> Column:
     """Arguments without the compiler, -c, -o with its value, and the source itself."""
     before = lambda i: F.get(arguments, i - 1)
-    return F.filter(arguments, lambda w, i: (i > 0) & ~w.isin("-c", "-o") & (F.coalesce(before(i), F.lit("")) != "-o") & (w != file) & (base_name(w) != base_name(file)))
+    return F.filter(arguments, lambda w, i: (i > 0) & ~w.isin("-c", "-o") & (F.coalesce(before(i), F.lit("")) != "-o") & (w != file) & (w.startswith("-") | (base_name(w) != base_name(file))))
 
 
 def content_hashes(spark: SparkSession, glob: str) -> DataFrame:

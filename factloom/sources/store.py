@@ -70,8 +70,9 @@ def write_relations(facts: DataFrame, folder: str) -> None:
 
 
 def read_relation(spark: SparkSession, path: str) -> DataFrame:
-    """source, target and epistemic of strict three-field lines, merged to the weakest; any bad line is an error."""
-    lines = spark.read.text(path).select("value", F.split("value", "\t").alias("f"))
+    """source, target and epistemic of strict three-field lines, merged to the weakest; any bad line is an error that names
+    its file and text."""
+    lines = spark.read.text(path).select(F.concat_ws(": ", F.input_file_name(), "value").alias("value"), F.split("value", "\t").alias("f"))
     bad = (F.size("f") != 3) | (F.get("f", F.lit(0)) == "") | (F.get("f", F.lit(1)) == "") | ~F.coalesce(F.get("f", F.lit(2)).isin(str(MUST), str(MAY)), F.lit(False))
     checked = lines.select(F.when(bad, F.raise_error(F.concat(F.lit("not a derived row: "), "value")).cast("array<string>")).otherwise(F.col("f")).alias("f"))
     rows = checked.select(F.col("f")[0].alias("source"), F.col("f")[1].alias("target"), F.col("f")[2].cast("int").alias("epistemic"))

@@ -5,16 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.operators.delta import merge_work
+from factloom.operators.delta import drain, merge_work
 from factloom.sources.store import Snapshots
 
 KEYS = ["kind", "target"]
 
 
 def fold(state: DataFrame | None, batch: DataFrame) -> DataFrame:
-    """State and batch (kind, target, seq, delta_id, priority, attempts), one row for each key and delta id."""
+    """State and batch (kind, target, seq, delta_id, priority, attempts), one row for each key and delta id. A delta that was
+    popped stays as done, so that a replayed batch does not bring it back."""
+    batch = batch.withColumn("done", F.lit(False))
     both = batch if state is None else state.unionByName(batch)
-    return both.groupBy(*KEYS, "delta_id").agg(F.min("seq").alias("seq"), F.min("priority").alias("priority"), F.max("attempts").alias("attempts"))
+    values = [F.min("seq").alias("seq"), F.min("priority").alias("priority"), F.max("attempts").alias("attempts"), F.max("done").alias("done")]
+    return both.groupBy(*KEYS, "delta_id").agg(*values)
 
 
 def run(feed: DataFrame, snapshots: Snapshots, checkpoint: str):
@@ -28,7 +31,18 @@ def run(feed: DataFrame, snapshots: Snapshots, checkpoint: str):
 
 
 def pending(snapshots: Snapshots) -> DataFrame:
-    return merge_work(snapshots.read("work"), KEYS)
+    return merge_work(snapshots.read("work").filter("NOT done").drop("done"), KEYS)
+
+
+def pop(snapshots: Snapshots, n: int = 1) -> list:
+    """The n items of the least priority, ties by key, as rows; they are done from then on. Not while the stream writes."""
+    items = drain(pending(snapshots), KEYS).limit(n).collect()
+    if items:
+        state = snapshots.read("work")
+        taken = state.sparkSession.createDataFrame([(r["kind"], r["target"], d) for r in items for d in r["delta_ids"]], "kind string, target string, delta_id string")
+        marked = state.join(taken.withColumn("now", F.lit(True)), [*KEYS, "delta_id"], "left")
+        snapshots.publish({"work": marked.withColumn("done", F.col("done") | F.coalesce("now", F.lit(False))).drop("now")})
+    return items
 
 
 def windowed_counts(events: DataFrame, late: str = "10 minutes", size: str = "1 hour") -> DataFrame:
