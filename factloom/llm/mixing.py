@@ -58,7 +58,7 @@ def plan(docs: DataFrame, order: list[str], measured: DataFrame | None = None, w
     before a document in its source, in the order of keys, settle what it gives: all of it once for each whole epoch, and
     as much of it as the rest of the budget still holds.
     """
-    narrow = docs if measured is None else measured
+    narrow = (docs if measured is None else measured).select("source", "size", "key")
     sized = narrow.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_n"))
     spans = F.pow(F.lit(2.0), F.least(F.greatest(F.ceil(F.log2(F.col("_n") / F.lit(float(RANGE_ROWS)))), F.lit(0)), F.lit(30))).cast("long")
     names = sized.select(F.col("source").alias("_s"), spans.alias("_spans"))

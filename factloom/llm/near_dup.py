@@ -49,8 +49,8 @@ SKETCH, LISTED, SHORT = 64, 16, 16
 HUBS = 4
 #: Chance that a similar pair shares too few listed values; how far an estimate may lie under the bar.
 LOSS, MARGIN = 1e-7, 0.3
-#: Keys that are broadcast at most, 8 bytes each.
-BROADCAST_KEYS = 1_000_000
+#: Keys that are broadcast at most, some 85 bytes each as a hash table.
+BROADCAST_KEYS = 250_000
 #: Links have 100 * intersection >= PERCENT * union.
 PERCENT = 85
 

@@ -28,6 +28,8 @@ FIT_ROWS, DIMS, LATENT, NEIGHBOURS = 4_000, 384, 48, 25
 KINDS = 3
 #: A neighbour's vote weighs exp(SHARPNESS * cosine).
 SHARPNESS = 12.0
+#: Cosines that are no further apart are equal.
+TIE = 1e-6
 #: Texts handled at once, so that the dense arrays stay small whatever their lengths.
 ROWS = 512
 
@@ -87,7 +89,7 @@ class Space:
             v = self.project(counts(text[some[0] : some[-1]], some - some[0]))
             cosine = v @ self.vectors.T
             bar = np.partition(cosine, len(self.labels) - k, axis=1)[:, len(self.labels) - k]
-            weight = np.where(cosine >= bar[:, None], np.exp(SHARPNESS * cosine.astype(float)), 0.0)
+            weight = np.where(cosine >= bar[:, None] - TIE, np.exp(SHARPNESS * cosine.astype(float)), 0.0)
             score = weight @ self.labels / weight.sum(axis=1)
             out[a : a + len(score), 0] = np.where((v == 0).all(axis=1), self.labels.mean(), score)
         return np.clip(out, 0.0, 1.0)
