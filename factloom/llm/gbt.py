@@ -61,34 +61,64 @@ class Model:
         return total
 
 
-def fit(df: DataFrame, names: list[str], label: str, rounds: int = 10, depth: int = 3, bins: int = 16, rate: float = 0.4, l2: float = 1.0) -> Model:
-    """df: a bounded sample with features ``names`` and a 0/1 label. Rows without a label are left out.
-
-    Spark cuts the features into bins and counts equal rows; the driver grows the trees on those counts, of which there are
-    no more than rows in the sample. Sums run in a fixed order, so reruns agree.
-    """
+@dataclass
+class Binned:
+    """A sample's distinct rows by binned features, with label, fold and count; the cuts of each feature."""
+
+    x: np.ndarray
+    y: np.ndarray
+    fold: np.ndarray
+    w: np.ndarray
+    cuts: list[list[float]]
+
+    def boosted(self, w: np.ndarray, rounds: int, depth: int, rate: float, l2: float) -> tuple[Model, np.ndarray]:
+        """Trees grown on the rows by their weights, and the margin of every row, of those that weigh nothing as well."""
+        n, pos = w.sum(), (w * self.y).sum()
+        if not 0 < pos < n:
+            prior = 20.0 if pos else -20.0
+            return Model(prior=prior), np.full(len(w), prior)
+        model = Model(prior=math.log(pos / (n - pos)))
+        margin = np.full(len(w), model.prior)
+        for _ in range(rounds):
+            p = 1 / (1 + np.exp(-margin))
+            tree, value = _grow(self.x, w * (self.y - p), w * p * (1 - p), np.ones(len(w), bool), self.cuts, depth, rate, l2)
+            margin = margin + value
+            model.trees.append(tree)
+        return model, margin
+
+
+def binned(df: DataFrame, names: list[str], label: str, fold: Column | None = None, bins: int = 16) -> Binned:
+    """df: a bounded sample with features ``names`` and a 0/1 label. Rows without a label are left out. Spark cuts the
+    features into bins and counts equal rows, of which there are no more than rows in the sample."""
     df = df.filter(F.col(label).isNotNull())
     marks = [i / bins for i in range(1, bins)]
     edges = [(F.min, "lo"), (F.max, "hi")]
-    top = df.agg(
-        F.count("*").alias("n"), F.sum(label).alias("pos"), *[F.percentile_approx(n, marks, 2000).alias(f"q{i}") for i, n in enumerate(names)], *[f(n).alias(f"{k}{i}") for i, n in enumerate(names) for f, k in edges]
-    ).first()
-    n, pos = top["n"], top["pos"] or 0
-    if not n or not 0 < pos < n:
-        return Model(prior=-20.0 if not pos else 20.0)
+    quantiles = [F.percentile_approx(n, marks, 2000).alias(f"q{i}") for i, n in enumerate(names)]
+    top = df.agg(*quantiles, *[f(n).alias(f"{k}{i}") for i, n in enumerate(names) for f, k in edges]).first()
     seen = [sorted({c for c in [top[f"lo{i}"], top[f"hi{i}"], *(top[f"q{i}"] or [])] if c is not None}) for i in range(len(names))]
     cuts = [[(a + b) / 2 for a, b in zip(v, v[1:], strict=False)] for v in seen]
     x = F.array(*[sum((F.when(F.col(c) > F.lit(float(v)), 1).otherwise(0) for v in cuts[i]), F.lit(0)) for i, c in enumerate(names)])
-    rows = sorted((tuple(r["x"]), r["y"], r["w"]) for r in df.select(x.alias("x"), F.col(label).cast("double").alias("y")).groupBy("x", "y").agg(F.count("*").cast("double").alias("w")).collect())
-    bins_of, y, w = np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
-    model = Model(prior=math.log(pos / (n - pos)))
-    margin = np.full(len(rows), model.prior)
-    for _ in range(rounds):
-        p = 1 / (1 + np.exp(-margin))
-        tree, value = _grow(bins_of, w * (y - p), w * p * (1 - p), np.ones(len(rows), bool), cuts, depth, rate, l2)
-        margin = margin + value
-        model.trees.append(tree)
-    return model
+    part = (F.lit(0) if fold is None else fold).cast("int").alias("f")
+    rows = df.select(x.alias("x"), F.col(label).cast("double").alias("y"), part).groupBy("x", "y", "f").agg(F.count("*").cast("double").alias("w")).collect()
+    rows = sorted((tuple(r["x"]), r["y"], r["f"], r["w"]) for r in rows)
+    columns = [np.array([r[i] for r in rows]) for i in range(4)]
+    return Binned(columns[0].reshape(len(rows), len(names)).astype(int), *columns[1:], cuts)
+
+
+def fit(df: DataFrame, names: list[str], label: str, rounds: int = 10, depth: int = 3, bins: int = 16, rate: float = 0.4, l2: float = 1.0) -> Model:
+    """Trees grown on the driver from the counts of a bounded sample. Sums run in a fixed order, so reruns agree."""
+    rows = binned(df, names, label, None, bins)
+    return rows.boosted(rows.w, rounds, depth, rate, l2)[0]
+
+
+def fit_calibrated(df: DataFrame, names: list[str], label: str, fold: Column, rounds: int = 10, depth: int = 3, bins: int = 16, rate: float = 0.4, l2: float = 1.0) -> tuple[Model, list[tuple[float, float]]]:
+    """The trees of all rows, and calibration knots from margins out of fold: those of trees grown on the other folds."""
+    rows = binned(df, names, label, fold, bins)
+    margin = np.zeros(len(rows.w))
+    for k in np.unique(rows.fold):
+        own = rows.fold == k
+        margin[own] = rows.boosted(np.where(own, 0.0, rows.w), rounds, depth, rate, l2)[1][own]
+    return rows.boosted(rows.w, rounds, depth, rate, l2)[0], isotonic(margin, rows.y, rows.w)
 
 
 def _grow(x: np.ndarray, g: np.ndarray, h: np.ndarray, own: np.ndarray, cuts: list[list[float]], depth: int, rate: float, l2: float) -> tuple[Tree, np.ndarray]:
@@ -115,13 +145,14 @@ def _grow(x: np.ndarray, g: np.ndarray, h: np.ndarray, own: np.ndarray, cuts: li
 STEPS, SPAN = 16, 8
 
 
-def isotonic(df: DataFrame, margin: Column, label: str) -> list[tuple[float, float]]:
+def isotonic(margin: np.ndarray, y: np.ndarray, w: np.ndarray) -> list[tuple[float, float]]:
     """Pool-adjacent-violators over a histogram of margins: (margin, probability) knots, both rising."""
-    at = F.round(F.least(F.greatest(margin, F.lit(-float(SPAN))), F.lit(float(SPAN))) * STEPS).cast("int")
-    rows = sorted(df.filter(F.col(label).isNotNull()).groupBy(at.alias("b")).agg(F.count("*").alias("n"), F.sum(label).alias("pos")).collect(), key=lambda r: r["b"])
+    step = np.round(np.clip(margin, -SPAN, SPAN) * STEPS).astype(int)
     blocks: list[list[float]] = []
-    for r in rows:
-        blocks.append([r["b"] / STEPS * r["n"], r["n"], float(r["pos"])])
+    for b in np.unique(step):
+        own = step == b
+        n = float(w[own].sum())
+        blocks.append([b / STEPS * n, n, float((w * y)[own].sum())])
         while len(blocks) > 1 and blocks[-2][2] / blocks[-2][1] >= blocks[-1][2] / blocks[-1][1]:
             last = blocks.pop()
             blocks[-1] = [a + b for a, b in zip(blocks[-1], last, strict=True)]

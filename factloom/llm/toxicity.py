@@ -263,14 +263,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Toxicit
     lexicon = learn_lexicon(sample.filter(part < FOLDS))
     rest = materialize(with_features(sample.filter(part >= FOLDS), lexicon, ["doc_id", "label"]), "toxic-features")
     names = [f"_f_{f}" for f in FEATURES]
-
-    def grown(rows: DataFrame) -> gbt.Model:
-        return gbt.fit(rows, names, "label", rounds=20, depth=3)
-
-    margin = F.lit(0.0)
-    for k in range(FOLDS):
-        margin = F.when(part == FOLDS + k, grown(rest.filter(part != FOLDS + k)).margin(names)).otherwise(margin)
-    return Toxicity(lexicon, grown(rest), gbt.isotonic(rest, margin, "label"))
+    return Toxicity(lexicon, *gbt.fit_calibrated(rest, names, "label", part, rounds=20, depth=3))
 
 
 def op6(spark, sf_dir: str) -> DataFrame:

@@ -147,7 +147,7 @@ def test_trees_as_sql_equal_trees_in_python(spark):
 
     got = [r[0] for r in df.select(model.margin(["a", "b", "c"])).collect()]
     assert got == pytest.approx([model.prior + sum(value(t, r) for t in model.trees) for r in x])
-    knots = gbt.isotonic(df, model.margin(["a", "b", "c"]), "y")
+    _, knots = gbt.fit_calibrated(df, ["a", "b", "c"], "y", F.pmod(F.xxhash64("a"), F.lit(3)))
     assert all(a < b and p <= q for (a, p), (b, q) in zip(knots, knots[1:], strict=False))
     scores = sorted((m, r[0]) for m, r in zip(got, df.select(gbt.calibrated(model.margin(["a", "b", "c"]), knots)).collect(), strict=True))
     assert all(a[1] <= b[1] + 1e-12 for a, b in zip(scores, scores[1:], strict=False))
