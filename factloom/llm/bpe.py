@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 from factloom.llm.textvec import blocks, column_bytes, mix64, no_cycles, worker_state
 
 #: A cut at one in so many spaces; words, and bytes of chunks, that a worker keeps.
-CUT_EVERY, WORD_CACHE, CHUNK_BYTES = 192, 80_000, 16 << 20
+CUT_EVERY, WORD_CACHE, CHUNK_BYTES = 192, 120_000, 16 << 20
 #: Characters whose normalisation and classes this module knows by itself; all other words go to the library.
 _PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]*\Z")
 _PRETOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
