@@ -20,6 +20,8 @@ from factloom.plans.stage import discard, made_within, materialize, read_table
 
 #: Near duplicates of the pipeline: Jaccard of word shingles of 0.8 and more. The 85 of near_dup is op10's contract alone.
 PERCENT = 80
+#: Words that a BPE worker keeps here: fewer than op5's, for idle workers hold them through the stages of the next run.
+WORDS = 30_000
 
 
 def _columns(docs: DataFrame) -> list:
@@ -64,7 +66,7 @@ def mixed(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each row of the mix."""
-    return bpe.digests(bpe.encoded(docs, keep=["doc_id"]))
+    return bpe.digests(bpe.encoded(docs, keep=["doc_id"], words=WORDS))
 
 
 _before: list[DataFrame] = []

@@ -127,7 +127,7 @@ class Merges:
 class Encoder:
     """A worker's tokenizer with its caches. Words and chunks map to (ids as little-endian bytes, decoded text)."""
 
-    def __init__(self, source: str):
+    def __init__(self, source: str, words: int = WORD_CACHE):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -145,7 +145,7 @@ class Encoder:
         self.young: dict[str, tuple[bytes, str]] = {}
         self.old: dict[str, tuple[bytes, str]] = {}
         self.chunks: OrderedDict[bytes, tuple[bytes, str]] = OrderedDict()
-        self.held = 0
+        self.held, self.most = 0, words
         self.seen = [0, 0]
 
     def _pair(self, ids) -> tuple[bytes, str]:
@@ -156,7 +156,7 @@ class Encoder:
 
     def learn(self, words: set[str]) -> None:
         """Makes sure that all words are in the cache."""
-        if len(self.young) > WORD_CACHE:
+        if len(self.young) > self.most:
             self.old, self.young = self.young, {}
         young, old = self.young, self.old
         fresh, strange = [], []
@@ -236,16 +236,17 @@ def chunk_cuts(data: np.ndarray, at: np.ndarray) -> list[list[int]]:
     return [[int(a), *spaces[f:e].tolist(), int(b)] if b > a else [int(a)] for a, b, f, e in zip(at[:-1], at[1:], first, last, strict=True)]
 
 
-def encoded(docs: DataFrame, file: str | None = None, keep: list[str] | None = None, name: str = "bpe") -> DataFrame:
+def encoded(docs: DataFrame, file: str | None = None, keep: list[str] | None = None, name: str = "bpe", words: int = WORD_CACHE) -> DataFrame:
     """The columns ``keep`` of docs (all but text, if none are named) with the struct column ``name``: ids (unsigned 32-bit
-    integers, little-endian) and decoded. A column of docs that has this name is replaced."""
+    integers, little-endian) and decoded. A column of docs that has this name is replaced. ``words`` bounds
+    a worker's word cache: fewer take less memory and more time, and change no result."""
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("text", name)]
     with open(file or vocabulary_file(), encoding="utf-8") as f:
         source = docs.sparkSession.sparkContext.broadcast(f.read())  # a vocabulary file: a few MB, whatever the corpus
     frame = docs.select(*[F.col(f"`{c}`") for c in keep], "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = worker_encoder(source)
+        encoder = worker_encoder(source, words)
         with no_cycles():
             for batch in batches:
                 data, at = column_bytes(batch.column(len(keep)))
@@ -259,10 +260,10 @@ def encoded(docs: DataFrame, file: str | None = None, keep: list[str] | None = N
     return frame.mapInArrow(run, T.StructType([*frame.schema.fields[:-1], T.StructField(name, made)]))
 
 
-def worker_encoder(source) -> Encoder:
+def worker_encoder(source, words: int) -> Encoder:
     """The encoder of this worker process, made once."""
     text = source.value
-    return worker_state(("bpe", hash(text)), lambda: Encoder(text))
+    return worker_state(("bpe", hash(text), words), lambda: Encoder(text, words))
 
 
 def digests(rows: DataFrame, name: str = "bpe") -> DataFrame:
