@@ -581,4 +581,4 @@ def property_graph_edges_whole(spark, sf_dir):
     return edges.groupBy("kind").agg(F.count("*").alias("edges"))
 
 
-from factloom import catalog_typed  # noqa: E402, F401  registers its queries
+from factloom import catalog_programs, catalog_typed  # noqa: E402, F401  register their queries

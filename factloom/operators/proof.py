@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions.ids import derived_fact_id
-from factloom.functions.lattice import weaken
+from factloom.functions.lattice import MAY, weaken
 from factloom.plans.stage import Rounds, materialize
 
 #: Rules of a relation: direct and through a call.
@@ -77,3 +77,32 @@ def require_proven(claimed: DataFrame, proven: DataFrame) -> DataFrame:
     if row is not None:
         raise ValueError(f"no acyclic provenance proof of {row['source']} > {row['target']} ({row['epistemic']})")
     return claimed
+
+
+def witnesses(proven: DataFrame) -> DataFrame:
+    """result, rule, input and ordinal (from 0): a row for each input of each proof."""
+    return proven.select(F.col("tuple_id").alias("result"), "rule", F.posexplode("inputs").alias("ordinal", "input"))
+
+
+def approximated(proven: DataFrame, relation: str) -> DataFrame:
+    """All rows weakened to MAY, with the ids that follow: source, target, epistemic, rule, inputs, tuple_id and was (the id
+    before). Inputs that are rows themselves get their new ids, so rows go in the order of their proofs; a cyclic one is an
+    error."""
+    rows = materialize(proven.select("source", "target", "rule", "inputs", F.col("tuple_id").alias("was")), "approximated-in")
+    own = rows.select(F.col("was").alias("input"), F.lit(True).alias("local"))
+    uses = materialize(rows.select("was", F.explode("inputs").alias("input")).join(own, "input", "left"), "approximated-uses")
+    done, left = Rounds(proven.sparkSession, "approximated"), rows.count()
+    renamed = None
+    while left:
+        now = uses.withColumn("new", F.lit(None).cast("string")) if renamed is None else uses.join(renamed.withColumnRenamed("was", "input"), "input", "left")
+        waits = now.groupBy("was").agg(F.count_if(F.expr("local AND new IS NULL")).alias("open"), F.array_sort(F.collect_list(F.coalesce("new", "input"))).alias("inputs"))
+        ready = rows.drop("inputs").join(waits.filter("open = 0").drop("open"), "was")
+        if renamed is not None:
+            ready = ready.join(renamed.select("was"), "was", "left_anti")
+        ready = ready.withColumn("epistemic", F.lit(MAY))
+        ready = ready.withColumn("tuple_id", derived_fact_id(F.lit(relation), F.array(F.col("source").cast("string"), F.col("target").cast("string")), F.col("epistemic"), F.col("rule"), F.col("inputs")))
+        n = done.add(ready.select("source", "target", "epistemic", "rule", "inputs", "tuple_id", "was")).count()
+        if not n:
+            raise ValueError("the provenance of approximated facts has a cyclic proof")
+        left, renamed = left - n, done.all().select("was", F.col("tuple_id").alias("new"))
+    return done.all() if renamed is not None else rows.withColumns({"epistemic": F.lit(MAY), "tuple_id": F.col("was")})

@@ -144,3 +144,20 @@ def manifest_ids(units: DataFrame) -> DataFrame:
 def numbered_units(units: DataFrame) -> DataFrame:
     """units with position, from 0, in the order of the manifest of their build."""
     return units.withColumn("position", F.row_number().over(Window.partitionBy("build").orderBy("path", F.array_join("arguments", "\0"))) - 1)
+
+
+def successor_results(results: DataFrame, members: DataFrame, dag: DataFrame) -> DataFrame:
+    """component, source, target and epistemic: the facts of a component's successors (src_scc, dst_scc), which support its
+    own evaluation."""
+    of = results.join(members.select(F.col("node").alias("source"), F.col("component").alias("dst_scc")), "source")
+    return of.join(dag.select("src_scc", "dst_scc").distinct(), "dst_scc").select(F.col("src_scc").alias("component"), "source", "target", "epistemic")
+
+
+def coverage(sites: DataFrame, unknown_effects: DataFrame) -> DataFrame:
+    """function, sites, unresolved, weak (states other than MUST) and covered: whether no unknown is in its reach.
+
+    sites: caller, callee (null where unresolved) and epistemic; unknown_effects: source, that reach one.
+    """
+    counts = sites.groupBy(F.col("caller").alias("function")).agg(F.count("*").alias("sites"), F.count_if(F.expr("callee IS NULL")).alias("unresolved"), F.count_if(F.expr("epistemic <> 1")).alias("weak"))
+    open_ = unknown_effects.select(F.col("source").alias("function"), F.lit(False).alias("closed")).distinct()
+    return counts.join(open_, "function", "left").select("function", "sites", "unresolved", "weak", F.coalesce("closed", F.lit(True)).alias("covered"))

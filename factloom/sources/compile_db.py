@@ -2,12 +2,27 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions.ids import NAMESPACE, domain_hash
 
 
+def resolve_project(root: str, output: str | None = None) -> dict[str, str]:
+    """root, database and output of a project on the driver's files: the root must hold a compile database that is not empty."""
+    if not root:
+        raise ValueError("the project's root is empty")
+    root = os.path.realpath(root)
+    database = os.path.join(root, "compile_commands.json")
+    if not os.path.isdir(root):
+        raise ValueError(f"the project's root is no directory: {root}")
+    if not os.path.isfile(database) or not os.path.getsize(database):
+        raise ValueError(f"the compile database is missing or empty: {database}")
+    return {"root": root, "database": database, "output": os.path.realpath(output) if output else os.path.join(root, f".{NAMESPACE}")}
+
+
 def read_compile_database(spark: SparkSession, path: str, root: str) -> DataFrame:
     """file, directory, arguments (normalised), location (repository or external) and options_hash, one row a unit.
 

@@ -23,6 +23,31 @@ def put_if_absent(store: DataFrame, incoming: DataFrame) -> tuple[DataFrame, Dat
     return new, inside.union(other).distinct()
 
 
+def objects_of(store: DataFrame, keys: DataFrame) -> DataFrame:
+    """key, bytes and found for each distinct key asked: bytes are null where the store has no such object."""
+    have = store.select("key", "bytes", F.lit(True).alias("found"))
+    return keys.select("key").distinct().join(have, "key", "left").select("key", "bytes", F.coalesce("found", F.lit(False)).alias("found"))
+
+
+def append_batches(store: DataFrame, incoming: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(facts to append, batches that clash) of facts (run, batch, fact_id): a batch is taken whole or not at all.
+
+    A batch that the store has is a replay and adds nothing; it clashes if its set of facts is another one.
+    """
+    key = ["run", "batch"]
+    had, now = store.select(*key, "fact_id").distinct(), incoming.select(*key, "fact_id").distinct()
+    new = incoming.distinct().join(had.select(*key).distinct(), key, "left_anti")
+    both = had.select(*key).distinct().join(now.select(*key).distinct(), key, "left_semi")
+    differ = had.subtract(now).unionByName(now.subtract(had)).select(*key).distinct()
+    return new, differ.join(both, key, "left_semi")
+
+
+def query_text(spark: SparkSession, sql: str, **parameters) -> DataFrame:
+    """The rows of a statement with named parameters (:name), all columns as text."""
+    rows = spark.sql(sql, args=parameters)
+    return rows.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in rows.columns])
+
+
 class Snapshots:
     """Named tables under a folder, each with versions and a pointer table."""
 
