@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from factloom.functions.ids import NAMESPACE, field, field_list, stable_id
 from factloom.functions.lattice import merged
 from factloom.plans.closure import close
-from factloom.plans.stage import discard, materialize
+from factloom.plans.stage import Rounds, discard, materialize
 
 
 def callees(edges: DataFrame, function) -> DataFrame:
@@ -21,30 +21,87 @@ def callers(edges: DataFrame, function) -> DataFrame:
     return edges.filter(F.col("dst") == function).select(F.col("src").alias("node")).distinct()
 
 
+def _shrunk(core: DataFrame, gone: list[DataFrame]) -> DataFrame:
+    """core without nodes on no cycle and with folded paths; what went is appended to ``gone``.
+
+    A round takes off all nodes without callers or callees, and folds nodes with one of each (a > node > b becomes a > b) that
+    come before both neighbours in an order by hash, so that no two neighbours fold. Long paths and cycles shrink by a third a
+    round. A folded node is in its neighbours' component if they share one.
+    """
+    while True:
+        none, order = F.lit(None).cast(core.schema["src"].dataType), lambda c: F.xxhash64(c, F.lit(len(gone)))  # noqa: B023
+        ends = core.select(F.col("src").alias("node"), none.alias("a"), F.col("dst").alias("b")).union(core.select("dst", "src", none))
+        seen = ends.groupBy("node").agg(F.count("a").alias("n_in"), F.count("b").alias("n_out"), F.min("a").alias("a"), F.min("b").alias("b"))
+        between = (F.col("n_in") == 1) & (F.col("n_out") == 1) & (order("node") < order("a")) & (order("node") < order("b"))
+        less = materialize(seen.withColumn("folded", between).filter("folded OR n_in = 0 OR n_out = 0").select("node", "a", "b", "folded"), "scc-gone")
+        if less.isEmpty():
+            discard(less)
+            return core
+        gone.append(less)
+        kept = core.join(less.select(F.col("node").alias("src")), "src", "left_anti").join(less.select(F.col("node").alias("dst")), "dst", "left_anti")
+        folded = less.filter("folded AND a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+        after = materialize(kept.unionByName(folded).distinct(), "scc-core")
+        discard(core)
+        core = after
+
+
+def _split(core: DataFrame, labels: Rounds, turn: int) -> DataFrame:
+    """core without the components of its pivots, which go to ``labels`` (node, low), and without edges between components.
+
+    Each node takes the first node, in an order by hash, that reaches it; that one is a pivot, and its component is what reaches
+    it among the nodes that took it. Nodes that took different pivots share no component.
+    """
+    spark = core.sparkSession
+    nodes = core.select(F.col("src").alias("node")).union(core.select("dst")).distinct()
+    taken = Rounds(spark, "scc-taken")
+    fresh = taken.add(nodes.select("node", F.struct(F.xxhash64("node", F.lit(turn)).alias("place"), F.col("node").alias("pivot")).alias("first")))
+    while not fresh.isEmpty():
+        first = taken.all().groupBy("node").agg(F.min("first").alias("known"))
+        step = core.join(fresh, core.src == fresh.node).groupBy(F.col("dst").alias("node")).agg(F.min("first").alias("first"))
+        fresh = taken.add(step.join(first, "node").filter("first < known").select("node", "first"))
+    own = materialize(taken.all().groupBy("node").agg(F.min("first").alias("first")).select("node", "first.pivot"), "scc-own")
+    discard(taken.all())
+    sides = core.join(own.withColumnsRenamed({"node": "src", "pivot": "low"}), "src").join(own.withColumnsRenamed({"node": "dst", "pivot": "other"}), "dst")
+    inner = materialize(sides.filter("low = other").select("src", "dst", "low"), "scc-inner")
+    back = Rounds(spark, "scc-back")
+    fresh = back.add(own.filter("node = pivot").select("node", F.col("pivot").alias("low")))
+    while not fresh.isEmpty():
+        step = inner.join(fresh.select("node"), inner.dst == F.col("node")).select(F.col("src").alias("node"), "low").distinct()
+        fresh = back.add(step.join(back.all().select("node"), "node", "left_anti"))
+    done = labels.add(back.all())
+    rest = inner.select("src", "dst").join(done.select(F.col("node").alias("src")), "src", "left_anti").join(done.select(F.col("node").alias("dst")), "dst", "left_anti")
+    out = materialize(rest, "scc-core")
+    discard(core, own, inner, back.all())
+    return out
+
+
 def strongly_connected(edges: DataFrame) -> DataFrame:
     """node, component (its smallest node) and scc_id of every node, from edges (src, dst).
 
-    Nodes on no cycle are peeled off first, level by level from both ends; only what is left, usually little, is closed.
+    What lies on no cycle is taken off and paths are folded; what is left, usually little, is split by pivots, again and again.
+    No step makes pairs of a component's nodes.
     """
     e = materialize(edges.select("src", "dst").distinct(), "scc-edges")
     nodes = e.select(F.col("src").alias("node")).union(e.select(F.col("dst").alias("node"))).distinct()
-    core = materialize(e.filter("src != dst"), "scc-core")
-    left = core.count()
-    while True:
-        heads = core.select(F.col("src").alias("n")).distinct()
-        tails = core.select(F.col("dst").alias("n")).distinct()
-        less = materialize(core.join(tails, core.src == tails.n, "left_semi").join(heads, core.dst == heads.n, "left_semi"), "scc-core")
-        discard(core)
-        core, before, left = less, left, less.count()
-        if left == before:
+    labels, gone = Rounds(edges.sparkSession, "scc-labels"), []
+    labels.add(e.limit(0).select(F.col("src").alias("node"), F.col("dst").alias("low")))
+    core = _shrunk(materialize(e.filter("src != dst"), "scc-core"), gone)
+    for turn in count():
+        if core.isEmpty():
             break
-    reach = close(core.withColumn("epistemic", F.lit(1)), core.select(F.col("src").alias("source"), F.col("dst").alias("target"), F.lit(1).alias("epistemic"))).facts
-    back = reach.select(F.col("source").alias("t"), F.col("target").alias("s"))
-    mutual = reach.join(back, (reach.source == back.s) & (reach.target == back.t)).groupBy("source").agg(F.min("target").alias("low"))
-    rows = nodes.join(mutual, nodes.node == mutual.source, "left").select("node", F.least("node", "low").alias("component"))
-    ids = rows.groupBy("component").agg(F.array_sort(F.collect_set(F.col("node").cast("string"))).alias("members"))  # a component's members
-    ids = ids.select("component", F.size("members").alias("size"), stable_id("scc", F.concat(field(F.lit(f"{NAMESPACE}.scc.v1")), field_list(F.col("members")))).alias("scc_id"))
-    return rows.join(ids, "component").select("node", "component", "size", "scc_id")
+        core = _shrunk(_split(core, labels, turn), gone)
+    for less in reversed(gone):
+        folded = less.filter("folded")
+        if not folded.isEmpty():
+            side = lambda c: labels.all().select(F.col("node").alias(c), F.col("low").alias(f"low_{c}"))
+            sides = folded.join(side("a"), "a", "left").join(side("b"), "b", "left")
+            sides = sides.select("node", F.coalesce("low_a", "a").alias("low"), F.coalesce("low_b", "b").alias("other"))
+            labels.add(sides.filter("low = other").select("node", "low"))
+    discard(core, *gone)
+    rows = nodes.join(labels.all(), "node", "left").select("node", F.coalesce("low", "node").alias("low"))
+    ids = rows.groupBy("low").agg(F.min("node").alias("component"), F.array_sort(F.collect_set(F.col("node").cast("string"))).alias("members"))  # a component's members
+    ids = ids.select("low", "component", F.size("members").alias("size"), stable_id("scc", F.concat(field(F.lit(f"{NAMESPACE}.scc.v1")), field_list(F.col("members")))).alias("scc_id"))
+    return rows.join(ids, "low").select("node", "component", "size", "scc_id")
 
 
 def condensation(edges: DataFrame, members: DataFrame) -> DataFrame:

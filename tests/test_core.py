@@ -212,3 +212,45 @@ def test_all_weakest_rows_are_explained(spark):
     _, p = catalog._proofs(spark, SF)
     got = catalog.QUERIES["proof_explanations"](spark, SF)
     assert proof.final_rows(p).join(got, "tuple_id", "left_anti").isEmpty()
+
+
+def _components(pairs):
+    """Smallest member of each node's component, by plain searches."""
+    out, into = {}, {}
+    for a, b in pairs:
+        out.setdefault(a, set()).add(b)
+        into.setdefault(b, set()).add(a)
+
+    def reach(step, n):
+        seen, todo = {n}, [n]
+        while todo:
+            for m in step.get(todo.pop(), ()):
+                if m not in seen:
+                    seen.add(m)
+                    todo.append(m)
+        return seen
+
+    return {n: min(reach(out, n) & reach(into, n)) for n in set(out) | set(into)}
+
+
+def test_components_of_random_graphs(spark):
+    import random
+
+    r = random.Random(5)
+    sparse = [(r.randrange(150), r.randrange(150)) for _ in range(190)]
+    cycles = [(1000 + 10 * c + i, 1000 + 10 * c + (i + 1) % 7) for c in range(8) for i in range(7)] + [(1000 + 10 * c, 1010 + 10 * c) for c in range(7)]
+    twos = [(2000, 2001), (2001, 2000), (2002, 2002), (2003, 2004)]
+    for pairs in (sparse, cycles + twos):
+        e = spark.createDataFrame(pairs, "src long, dst long")
+        got = {x["node"]: (x["component"], x["size"]) for x in graph.strongly_connected(e).collect()}
+        want = _components(pairs)
+        sizes = {c: sum(v == c for v in want.values()) for c in want.values()}
+        assert got == {n: (c, sizes[c]) for n, c in want.items()}
+
+
+def test_components_of_a_long_chain_and_a_long_cycle(spark):
+    n = 20_000
+    chain = spark.range(n).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    assert graph.strongly_connected(chain).filter("size > 1").isEmpty()
+    ring = spark.range(n).select(F.col("id").alias("src"), ((F.col("id") + 1) % n).alias("dst"))
+    assert [tuple(x) for x in graph.strongly_connected(ring).groupBy("component", "size").count().collect()] == [(0, n, n)]
