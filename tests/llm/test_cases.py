@@ -256,3 +256,12 @@ def test_large_groups_of_equal_and_of_near_equal_documents(spark):
 
 def test_least_of_is_the_binomial_bound():
     assert near_dup.least_of(16, 0.8) == 3 and near_dup.least_of(4, 1.0) == 4 and near_dup.least_of(16, 0.01) == 1
+
+
+def test_keys_too_many_for_a_broadcast_give_the_same_rows(spark, monkeypatch):
+    base = [" ".join(f"w{d}x{i}" for i in range(60)) for d in range(6)]
+    texts = base + [t + " more" for t in base[:4]] + [base[0], "", None]
+    rows = lambda: sorted(map(tuple, near_dup.near_duplicates(docs(spark, texts)).select("doc_id", "n_shingles", "component_id", "kept").collect()))
+    want = rows()
+    monkeypatch.setattr(near_dup, "BROADCAST_KEYS", 0)
+    assert rows() == want and sum(not r[3] for r in want) == 5
