@@ -240,7 +240,8 @@ def test_components_of_random_graphs(spark):
     sparse = [(r.randrange(150), r.randrange(150)) for _ in range(190)]
     cycles = [(1000 + 10 * c + i, 1000 + 10 * c + (i + 1) % 7) for c in range(8) for i in range(7)] + [(1000 + 10 * c, 1010 + 10 * c) for c in range(7)]
     twos = [(2000, 2001), (2001, 2000), (2002, 2002), (2003, 2004)]
-    for pairs in (sparse, cycles + twos):
+    dense = [(100 * b + r.randrange(12), 100 * b + r.randrange(12)) for b in range(6) for _ in range(40)] + [(100 * b + 2, 100 * b + 103) for b in range(5)]
+    for pairs in (sparse, cycles + twos, dense):
         e = spark.createDataFrame(pairs, "src long, dst long")
         got = {x["node"]: (x["component"], x["size"]) for x in graph.strongly_connected(e).collect()}
         want = _components(pairs)
