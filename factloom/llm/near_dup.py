@@ -15,7 +15,8 @@ whole sets decides. Steps:
 5. Lists that still hold several components: those of at most SHORT members compare all of them across components, a
    bounded number for each member. The members of longer ones go through an exact prefix join over their whole sets.
    Either way no link between components of a list is lost.
-6. Components come from alternating large-star and small-star rounds over the verified links, until nothing changes.
+6. Components of at most LOCAL_LINKS links are found in the driver, 16 bytes a link; those of more come from alternating
+   large-star and small-star rounds, until nothing changes. Steps that have no list left to look at are left out.
 
 Two sets as similar as asked share fewer listed values than ``least_shared`` with a chance under LOSS, and their union
 sketch estimates less than MARGIN below the bar with one under 1e-8 (both binomial); sets smaller than the sketch are
@@ -34,6 +35,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +53,8 @@ HUBS = 4
 LOSS, MARGIN = 1e-7, 0.3
 #: Keys that are broadcast at most, some 85 bytes each as a hash table.
 BROADCAST_KEYS = 250_000
+#: Links whose components the driver finds at most.
+LOCAL_LINKS = 250_000
 #: Links have 100 * intersection >= PERCENT * union.
 PERCENT = 85
 
@@ -186,10 +190,29 @@ def verified(pairs: DataFrame, sets: DataFrame, k: int, percent: int, name: str)
     return links
 
 
+def least_reachable(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of the edges (u, v) and the smallest key that each reaches."""
+    keys, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b, root = at[: len(u)], at[len(u) :], np.arange(len(keys))
+    while True:
+        low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+        if (low == high).all():
+            return keys, keys[root]
+        np.minimum.at(root, high, low)
+        while not np.array_equal(up := root[root], root):
+            root = up
+
+
 def components(links: DataFrame) -> DataFrame:
-    """key and comp (smallest key reachable) of all keys in links (a, b); large-star and small-star in turn, to the end."""
+    """key and comp (smallest key reachable) of all keys in links (a, b); in the driver where these are few, else by large-star
+    and small-star in turn, to the end."""
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct()
     edges, mark = materialize(edges, "edges"), None
+    if edges.count() <= LOCAL_LINKS:
+        few = edges.toArrow()
+        discard(edges)
+        keys, comp = least_reachable(few.column("u").to_numpy(), few.column("v").to_numpy())
+        return links.sparkSession.createDataFrame(pa.table({"key": pa.array(keys, pa.int64()), "comp": pa.array(comp, pa.int64())}), "key long, comp long")
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select(apart("u"), F.least("u", "m").alias("m"))
@@ -235,18 +258,22 @@ def near_duplicates(docs: DataFrame, k: int = SKETCH, percent: int = PERCENT, si
     first = verified(star, sets, k, percent, "hubs")
     merged = materialize(components(first), "merged")
     open_ = materialize(open_members(spread, merged), "open")
-    second = verified(next_hubs(open_, percent), sets, k, percent, "next-hubs")
-    first, old = first.union(second), [first, second, merged, open_]
-    merged = materialize(components(first), "merged")
-    open_ = materialize(open_members(spread, merged), "open")
-    short = verified(short_pairs(open_, percent), sets, k, percent, "short")
-    long = long_links(open_.filter(F.col("c") > SHORT).select("key", "comp").distinct(), sets, k, percent)
+    old = [first]
+    if not open_.filter(F.col("c") > SHORT).isEmpty():
+        second = verified(next_hubs(open_, percent), sets, k, percent, "next-hubs")
+        first, old = first.union(second), [first, second, merged, open_]
+        merged = materialize(components(first), "merged")
+        open_ = materialize(open_members(spread, merged), "open")
+    rest = [verified(short_pairs(open_, percent), sets, k, percent, "short")]
+    longer = open_.filter(F.col("c") > SHORT)
+    if not longer.isEmpty():
+        rest.append(long_links(longer.select("key", "comp").distinct(), sets, k, percent))
     real = placed.filter("key IS NOT NULL")
     several = real.groupBy("doc_id").agg(F.min("key").alias("a"), F.max("key").alias("z")).filter("a != z").select(apart("doc_id"), "a")
     again = real.join(several, "doc_id").select("a", F.col("key").alias("b")).distinct()
-    links = first.union(short).union(long).union(again).union(merged.select(F.col("comp").alias("a"), F.col("key").alias("b")))
+    links = reduce(DataFrame.union, rest, first).union(again).union(merged.select(F.col("comp").alias("a"), F.col("key").alias("b")))
     final = materialize(components(links.filter("a != b")), "components")
-    discard(sets, lists, open_, merged, short, long, *old)
+    discard(sets, lists, open_, merged, *rest, *old)
     known = real.join(final, "key", "left").select("doc_id", "n_shingles", F.coalesce("comp", "key").alias("component_id"))
     blank = placed.filter("key IS NULL AND doc_id IS NOT NULL").select("doc_id", "n_shingles")
     elsewhere = known.select("doc_id", F.col("component_id").alias("c")).distinct()

@@ -242,6 +242,19 @@ def test_ids_that_repeat_or_lack(spark):
     assert near_dup.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_few_links_take_one_written_table_and_no_rounds(spark, monkeypatch):
+    rng, written = np.random.default_rng(5), []
+    pairs = [(int(a), int(b)) for a, b in rng.integers(-300, 300, (260, 2))] + [(i + 1, i) for i in range(1000, 1200)] + [(7000, 7000)]
+    links, real = spark.createDataFrame(pairs, "a long, b long"), near_dup.materialize
+    monkeypatch.setattr(near_dup, "materialize", lambda df, name: written.append(name) or real(df, name))
+    few = {tuple(r) for r in near_dup.components(links).collect()}
+    assert len(written) == 1
+    assert near_dup.components(links.limit(0)).isEmpty()
+    monkeypatch.setattr(near_dup, "LOCAL_LINKS", 0)
+    assert few == {tuple(r) for r in near_dup.components(links).collect()}
+    assert {(k, 1000) for k in range(1000, 1201)} <= few
+
+
 def test_components_run_to_the_end(spark):
     order = np.random.default_rng(2).permutation(300).tolist()
     pairs = spark.createDataFrame([*zip(order, order[1:], strict=False), (500, 501), (501, 502)], "a long, b long")
